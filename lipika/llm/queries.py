@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lipika.llm import rules
+from lipika.llm import rules, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,5 +57,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM b
 """
 
-QUERIES = {"op7_quality_rules": op7_quality_rules}
+
+
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of 3-word shingles of all documents, linked at two or fewer differing bits."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, tau=2)
+    word = F.lower(F.lpad(F.hex(F.get("fp", F.lit(0))), 16, "0"))
+    return found.select("doc_id", word.alias("fingerprint"), "component_id")
+
+
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op7_quality_rules": op7_quality_rules,
+}
 ORACLES = {"op7_quality_rules": OP7_SQL}
