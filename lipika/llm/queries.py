@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lipika.llm import rules, simhash
+from lipika.llm import packing, rules, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,8 +67,15 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", word.alias("fingerprint"), "component_id")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 1024 tokens."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack(table(spark, sf_dir, "documents"), path, 1024).drop("ids")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op7_quality_rules": op7_quality_rules,
+    "op8_packing": op8_packing,
 }
 ORACLES = {"op7_quality_rules": OP7_SQL}
