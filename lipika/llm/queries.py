@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lipika.llm import packing, rules, simhash
+from lipika.llm import merkle, packing, rules, simhash, spans
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,9 +73,49 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), path, 1024).drop("ids")
 
 
+def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the sentences of repeated runs."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = spans.remove_repeats(docs)
+    return found.select("doc_id", "text", F.size("removed").alias("n_removed_spans"), F.col("removed").cast("string").alias("removed"))
+
+
+def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle fingerprints of all documents, of their edited texts and of their neighbours."""
+    return merkle.edits(table(spark, sf_dir, "documents"))
+
+
+def _merkle_sql(text: str) -> str:
+    leaf = r"'[^.!?]{1,160}[.!?]*|[.!?]+'"
+    paragraphs = lambda body: f"list_transform(string_split({text}, chr(10) || chr(10)), lambda s: {body})"
+    full = f"array_to_string(list_transform(string_split(s, chr(10)), lambda p: md5(array_to_string(list_transform(regexp_extract_all(p, {leaf}), lambda x: md5(x)), ','))), ';')"
+    short = f"array_to_string(list_transform(string_split(s, chr(10)), lambda p: array_to_string(list_transform(regexp_extract_all(p, {leaf}), lambda x: substr(md5(x), 1, 8)), ',')), ';')"
+    return f"md5(array_to_string({paragraphs(f'md5({full})')}, '/')) || '|' || array_to_string({paragraphs(short)}, '/')"
+
+
+def _likeness_sql(a: str, b: str) -> str:
+    leaves = lambda f: f"list_distinct(list_filter(regexp_split_to_array(split_part({f}, '|', 2), '[,;/]'), lambda x: x <> ''))"
+    return (
+        f"CASE WHEN {a} = {b} THEN 1.0 ELSE coalesce(2.0 * len(list_intersect({leaves(a)}, {leaves(b)}))"
+        f" / nullif(len({leaves(a)}) + len({leaves(b)}), 0), 0.0) END::DOUBLE"
+    )
+
+
+OP10_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT *, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS nt FROM d),
+e AS (SELECT *, left(t, length(t) - length(t) // 3) || left(nt, length(t) // 3) AS et FROM n),
+f AS (SELECT *, {_merkle_sql("t")} AS fp, {_merkle_sql("et")} AS ef, {_merkle_sql("nt")} AS nf FROM e)
+SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(et) AS edited_sha256, fp AS fingerprint, ef AS edited_fingerprint,
+       {_likeness_sql("fp", "ef")} AS near_edited, {_likeness_sql("fp", "nf")} AS near_next
+FROM f
+"""
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op7_quality_rules": op7_quality_rules,
     "op8_packing": op8_packing,
+    "op9_sentence_spans": op9_sentence_spans,
+    "op10_merkle": op10_merkle,
 }
-ORACLES = {"op7_quality_rules": OP7_SQL}
+ORACLES = {"op7_quality_rules": OP7_SQL, "op10_merkle": OP10_SQL}
