@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lipika.llm import merkle, packing, rules, simhash, spans
+from lipika.llm import langid, merkle, packing, rules, simhash, spans
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,15 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", word.alias("fingerprint"), "component_id")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents by a model of those that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    held = langid.held_out(F.col("doc_id"))
+    found, name = langid.predict(docs.select("doc_id", "text"), langid.fit(docs.filter(~held)))
+    x = F.col(name)
+    return found.select("doc_id", held.alias("held_out"), x["language"].alias("lang_pred"), x["score"].alias("score"), x["bits"].alias("bits"), x["rejected"].alias("rejected"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 1024 tokens."""
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -113,6 +122,7 @@ FROM f
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op5_language_id": op5_language_id,
     "op7_quality_rules": op7_quality_rules,
     "op8_packing": op8_packing,
     "op9_sentence_spans": op9_sentence_spans,
