@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lipika.llm import langid, merkle, packing, rules, simhash, spans
+from lipika.llm import langid, lexicon, merkle, packing, rules, simhash, spans
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", word.alias("fingerprint"), "component_id")
 
 
+def op3_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded texts of all documents, as digests."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = lexicon.encode(docs, path, lexicon.build(docs, path))
+    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents by a model of those that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
@@ -122,6 +130,7 @@ FROM f
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op3_lexicon_bpe": op3_lexicon_bpe,
     "op5_language_id": op5_language_id,
     "op7_quality_rules": op7_quality_rules,
     "op8_packing": op8_packing,
