@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lipika.llm import langid, lexicon, merkle, packing, rules, simhash, spans
+from lipika.llm import langid, lexicon, merkle, packing, rules, simhash, spans, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), x["language"].alias("lang_pred"), x["score"].alias("score"), x["bits"].alias("bits"), x["rejected"].alias("rejected"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives, normalised, and read back by their indexes."""
+    rows = warc.read(warc.archive_pages(table(spark, sf_dir, "pages")))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 1024 tokens."""
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -132,6 +138,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_lexicon_bpe": op3_lexicon_bpe,
     "op5_language_id": op5_language_id,
+    "op6_warc": op6_warc,
     "op7_quality_rules": op7_quality_rules,
     "op8_packing": op8_packing,
     "op9_sentence_spans": op9_sentence_spans,
