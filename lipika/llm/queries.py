@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lipika.llm import langid, lexicon, merkle, packing, rules, simhash, spans, warc
+from lipika.llm import langid, lexicon, merkle, packing, rangecoder, rules, simhash, spans, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,13 @@ def op3_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, written in order and read back."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = rangecoder.read_tokens(rangecoder.write_tokens(table(spark, sf_dir, "documents"), path))
+    return rows.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents by a model of those that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
@@ -137,6 +144,7 @@ FROM f
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_lexicon_bpe": op3_lexicon_bpe,
+    "op4_token_files": op4_token_files,
     "op5_language_id": op5_language_id,
     "op6_warc": op6_warc,
     "op7_quality_rules": op7_quality_rules,
