@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lipika.llm import langid, lexicon, merkle, packing, rangecoder, rules, simhash, spans, warc
+from lipika.llm import langid, lexicon, merkle, packing, pll, rangecoder, rules, simhash, spans, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", word.alias("fingerprint"), "component_id")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pseudo-log-likelihoods of all documents by a network trained on all of them."""
+    return pll.score_corpus(table(spark, sf_dir, "documents"))
+
+
 def op3_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded texts of all documents, as digests."""
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -143,6 +148,7 @@ FROM f
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_lm_score": op2_lm_score,
     "op3_lexicon_bpe": op3_lexicon_bpe,
     "op4_token_files": op4_token_files,
     "op5_language_id": op5_language_id,
