@@ -10,10 +10,12 @@ never merged: repeated rows give repeated ledger rows. Null ids stay null.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lipika.columns import let, matches
+from lipika.columns import free_name, let, matches
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = " \t\n\x0b\x0c\r"
@@ -154,3 +156,18 @@ def ablation(rows: DataFrame, policy: str) -> DataFrame:
         F.sum(F.when(fails & others, F.col("n")).otherwise(0)).alias("n_failed_alone"),
         F.sum(F.when(others, F.col("n")).otherwise(0)).alias("n_kept_without"),
     )
+
+
+def passing(docs: DataFrame, policy: str = "full-2", text: str = "text") -> DataFrame:
+    """The rows of the frame whose text passes a policy, with the frame's own columns."""
+    name = free_name(docs, "measured")
+    measured = docs.withColumn(name, measurements(docs[text]))
+    failed = F.lit(0).cast("long")
+    for k, rule in enumerate(RULES.values()):
+        failed = failed.bitwiseOR(F.when(_over(name, rule), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
+    return measured.filter(passes(policy, failed)).drop(name)
+
+
+def _over(struct: str, rule: str) -> Column:
+    """A rule over the fields of a struct column."""
+    return F.expr(re.sub(r"\b(" + "|".join(MEASURES) + r")\b", rf"`{struct}`.\1", rule))
