@@ -134,8 +134,8 @@ def plan(histogram: np.ndarray, window: int) -> Plan:
     return out
 
 
-def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int | None = 0, id_col: str = "doc_id", text: str = "text", rows_per_salt: int = 10_000) -> DataFrame:
-    """One row for each piece: ``id_col``, ``start``, ``length``, ``ids`` (binary), ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``."""
+def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int | None = 0, id_col: str = "doc_id", text: str = "text", rows_per_salt: int = 10_000, with_ids: bool = True) -> DataFrame:
+    """One row for each piece: ``id_col``, ``start``, ``length``, ``ids`` (binary; null without ``with_ids``), ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``."""
     table = written(token_table(docs, path, end_id, id_col, text), "tokens")
     left = F.pmod("n", F.lit(window)).cast("int").alias("left")
     counted = table.groupBy(left).count().collect()  # at most ``window`` rows
@@ -163,7 +163,7 @@ def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int | None = 0,
                 start = 0
                 for sequence, offset, length in pieces:
                     piece = ids[start : start + length].tobytes()
-                    for column, value in zip(out, (key, start, length, piece, zlib.crc32(piece), n, sequence, offset)):
+                    for column, value in zip(out, (key, start, length, piece if with_ids else None, zlib.crc32(piece), n, sequence, offset)):
                         column.append(value)
                     start += length
             longs = pa.int64()

@@ -105,7 +105,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 1024 tokens."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return packing.pack(table(spark, sf_dir, "documents"), path, 1024).drop("ids")
+    return packing.pack(table(spark, sf_dir, "documents"), path, 1024, with_ids=False).drop("ids")
 
 
 def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

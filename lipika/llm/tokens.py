@@ -18,16 +18,17 @@ from tokenizers import Tokenizer
 
 #: White space of the pre-tokenizer's patterns.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-#: Anything but single spaces and single line feeds between words; NUL is the cut mark below.
-_ODD = re.compile(f"[\0{SPACE.replace(' ', '').replace(chr(10), '')}]| (?=[ \n]|\\Z)|\n[ \n]|\\A ")
+#: White space besides spaces and line feeds; NUL is the cut mark below.
+_ODD = re.compile(f"[\0{SPACE.replace(' ', '').replace(chr(10), '')}]")
+#: Longer pieces are not remembered.
+LONGEST = 64
 _RUNS = re.compile(f"([{SPACE}]+)")
-_TAIL = re.compile(r"[.,;:!?]+\Z")
 
 
 class ByteEncoder:
     """Encodes texts into little-endian unsigned 32-bit ids, as the tokenizers library does without special tokens."""
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = 600_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -35,13 +36,14 @@ class ByteEncoder:
         self.line_feed = self._whole("\n")
         self.remember = remember
         self.pieces: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _cut(self, text: str) -> list[str]:
-        if not _ODD.search(text):
+        plain = not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " ")
+        if plain and not _ODD.search(text):  # single spaces and line feeds between words
             return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
         out, parts = [], _RUNS.split(text)
         lead = ""
@@ -75,33 +77,45 @@ class ByteEncoder:
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null is empty."""
+        known, find = self.pieces, self.pieces.get
         cut: list[list[str] | None] = []
+        found: list[list[bytes | None]] = []
         new: set[str] = set()
-        known = self.pieces
         for t in texts:
             if t and any(s in t for s in self.special):
                 cut.append(None)
+                found.append([self._whole(t)])
                 continue
-            cut.append(self._cut(t) if t else [])
-            new.update(p for p in cut[-1] if p not in known)
-        table = known
-        if new:
-            split = {}
-            for p in new:
-                m = _TAIL.search(p)
-                # a letter and a mark that follows it are never in one piece of the pre-tokenizer
-                split[p] = (p[: m.start()], m[0]) if m and p[m.start() - 1 : m.start()].isalpha() else (p, "")
-            wanted = {w for pair in split.values() for w in pair if w and w not in self.words}
-            words = self._encode_new(sorted(wanted))
-            get = lambda w: self.words.get(w) or words.get(w, b"")
-            fresh = {p: get(a) + get(b) for p, (a, b) in split.items()}
-            if len(self.words) < self.remember:
-                self.words |= words
-            if len(known) < self.remember:
-                known |= fresh
-            else:
-                table = {p: known[p] if p in known else fresh[p] for c in cut if c for p in c}
-        return [self._whole(t) if c is None else b"".join([table[p] for p in c]) for t, c in zip(texts, cut)]
+            pieces = self._cut(t) if t else []
+            ids = list(map(find, pieces))
+            if None in ids:
+                new.update([p for p, i in zip(pieces, ids) if i is None])
+            cut.append(pieces)
+            found.append(ids)
+        fresh = self._fresh(new) if new else {}
+        out = [b"".join([fresh[p] if i is None else i for p, i in zip(c, ids)] if c and None in ids else ids) for c, ids in zip(cut, found)]
+        if len(known) < self.remember:
+            known.update({p: i for p, i in fresh.items() if len(p) <= LONGEST})
+        return out
+
+    def _fresh(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of pieces that are not remembered, by their words."""
+        split = {p: _parts(p) for p in new}
+        words = self.words
+        wanted = {w for pair in split.values() for w in pair}.difference(words)
+        added = self._encode_new(list(wanted))
+        words |= added
+        out = {p: words[a] + words[b] for p, (a, b) in split.items()}
+        for w in added:  # what came first is met most often
+            if len(words) > self.remember or len(w) > LONGEST:
+                del words[w]
+        return out
+
+
+def _parts(piece: str) -> tuple[str, str]:
+    """A piece without and with the marks at its end: the pre-tokenizer never joins a mark to a letter before it."""
+    core = piece.rstrip(".,;:!?")
+    return (core, piece[len(core) :]) if len(core) < len(piece) and core[-1:].isalpha() else (piece, "")
 
 
 _ENCODERS: dict[str, ByteEncoder] = {}
