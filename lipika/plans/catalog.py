@@ -1,6 +1,500 @@
-"""Registry of the text-analytics queries and of the SQL that checks them."""
+"""Registry of the text-analytics queries and of the SQL that checks them.
+
+The tables hold no Bengali, so queries over the script read ``documents`` through a fixed
+letter-for-letter mapping (:data:`lipika.charset.LATIN_AS_BENGALI`).
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lipika import charset as ch
+from lipika.functions import text as T
+from lipika.operators import corpus, dictionary, scoring, subword
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql.strip()
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bengali(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id``, ``lang``, ``source``, ``t``."""
+    t = F.translate(F.lower("text"), ch.LATIN, ch.LATIN_AS_BENGALI)
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", t.alias("t"))
+
+
+# --- SQL pieces ---
+_WS = ch.body(ch.WHITESPACE)
+BN = f"bn AS (SELECT doc_id, lang, source, translate(lower(text), '{ch.LATIN}', '{ch.LATIN_AS_BENGALI}') AS t FROM documents)"
+_AK = ch.akshara(possessive=False)
+CHUNK_SQL = f"regexp_extract_all(t, '{_AK}|(?s:.)')"
+CHUNKS = f"{BN}, ck AS (SELECT doc_id, lang, source, unnest({CHUNK_SQL}) AS chunk, generate_subscripts({CHUNK_SQL}, 1) - 1 AS pos FROM bn)"
+_IS_AK = f"regexp_matches(chunk, '^[{ch.C}{ch.V}]')"
+AKS = f"{CHUNKS}, ak AS (SELECT * FROM ck WHERE {_IS_AK})"
+WORDS_SQL = f"list_filter(regexp_split_to_array(%s, '[{_WS}]+'), lambda w: w <> '')"
+N_WORDS = "CAST(len(" + WORDS_SQL % "t" + ") AS BIGINT)"
+_NORM = f"replace(replace(replace(nfc_normalize(replace(t, '{ch.TA}{ch.VIRAMA}{ch.ZWJ}', '{ch.KHANDA_TA}')), " + "), ".join(f"'{a}', '{b}'" for a, b in ch.RECOMPOSED.items()) + ")"
+
+
+def _long(c) -> F.Column:
+    return c.cast("long")
+
+
+# --- text ---
+@query(f"SELECT doc_id, {N_WORDS.replace('(t,', '(text,')} AS n_words FROM documents")
+def words_per_doc(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", _long(F.size(T.words(F.col("text")))).alias("n_words"))
+
+
+@query("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes FROM documents")
+def bytes_per_doc(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", _long(T.bytes_of(F.col("text"))).alias("n_bytes"))
+
+
+@query(f"SELECT doc_id FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '[^{_WS}]')")
+def nonblank_filter(spark, sf):
+    return table(spark, sf, "documents").filter(~T.is_blank(F.col("text"))).select("doc_id")
+
+
+@query(f"""
+WITH {BN}, l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM bn)
+SELECT doc_id, COUNT(*) AS n_clean FROM l
+WHERE length(line) >= 4 AND (length(line) - length(regexp_replace(line, '[{chr(0x980)}-{chr(0x9FF)} -~]', '', 'g'))) / length(line) >= 0.75
+GROUP BY doc_id""")
+def clean_line_filter(spark, sf):
+    lines = bengali(spark, sf).select("doc_id", F.explode(F.split("t", "\n")).alias("line"))
+    return lines.filter(T.is_clean_line(F.col("line"))).groupBy("doc_id").agg(F.count("*").alias("n_clean"))
+
+
+_TRIM = f"regexp_replace(%s, '^[{_WS}]+|[{_WS}]+$', '', 'g')"
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, {_TRIM % 'line'} AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents))
+SELECT doc_id, COUNT(*) AS n_lines, CAST(SUM(length(line)) AS BIGINT) AS n_chars FROM l WHERE line <> '' GROUP BY doc_id""")
+def line_split_newline(spark, sf):
+    lines = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("x")).select("doc_id", T.trimmed(F.col("x")).alias("line"))
+    return lines.filter("line <> ''").groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, replace(replace(text, chr(10), ' '), '. ', '{ch.DANDA} ') AS t FROM documents),
+p AS (SELECT doc_id, unnest(string_split(regexp_replace(t, '([{ch.CURRENCY_FOUR}{ch.DANDA}{ch.DOUBLE_DANDA}])[{_WS}]+', '\\1' || chr(1), 'g'), chr(1))) AS s FROM d),
+q AS (SELECT doc_id, {_TRIM % 's'} AS s FROM p)
+SELECT doc_id, COUNT(*) AS n_sentences, MAX(length(s)) AS longest FROM q WHERE s <> '' GROUP BY doc_id""")
+def sentence_split_danda(spark, sf):
+    one = F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(". "), F.lit(ch.DANDA + " "))
+    parts = table(spark, sf, "documents").select("doc_id", F.explode(T.split_lines(one)).alias("s"))
+    return parts.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.max(_long(F.length("s"))).alias("longest"))
+
+
+@query(f"WITH {BN} SELECT doc_id, nfc_normalize(t) AS t, nfc_normalize(t) = t AS is_nfc FROM bn")
+def normalize_nfc(spark, sf):
+    df = bengali(spark, sf).select("doc_id", "t", T.nfc(F.col("t")).alias("n"))
+    return df.select("doc_id", F.col("n").alias("t"), (F.col("n") == F.col("t")).alias("is_nfc"))
+
+
+@query(f"WITH {BN} SELECT doc_id, {_NORM} AS t FROM (SELECT doc_id, replace(t, '{ch.ZWNJ}', '{ch.ZWJ}') AS t FROM bn)")
+def normalize_khanda_ta(spark, sf):
+    joined = F.replace("t", F.lit(ch.ZWNJ), F.lit(ch.ZWJ))
+    return bengali(spark, sf).select("doc_id", T.normalize(joined).alias("t"))
+
+
+@query(f"WITH {BN} SELECT doc_id, translate({_NORM}, '{ch.ZWJ}{ch.ZWNJ}', '') AS t FROM bn")
+def normalize_strip_zw(spark, sf):
+    return bengali(spark, sf).select("doc_id", T.normalize(F.col("t"), "strip").alias("t"))
+
+
+# --- segmentation ---
+def _syllables(spark, sf) -> DataFrame:
+    rows = bengali(spark, sf).select("doc_id", "lang", F.posexplode(T.chunks(F.col("t"))).alias("pos", "chunk"))
+    return rows.filter(T.is_akshara(F.col("chunk")))
+
+
+@query(f"WITH {AKS} SELECT lang, chunk, COUNT(*) AS n FROM ak GROUP BY lang, chunk")
+def akshara_freq(spark, sf):
+    return _syllables(spark, sf).groupBy("lang", "chunk").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {AKS} SELECT chunk, COUNT(*) AS n FROM ak GROUP BY chunk ORDER BY n DESC, chunk LIMIT 50")
+def akshara_topk(spark, sf):
+    return _syllables(spark, sf).groupBy("chunk").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "chunk").limit(50)
+
+
+@query(f"""
+WITH {CHUNKS}, o AS (SELECT doc_id, pos, chunk, CAST(coalesce(SUM(length(chunk)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s FROM ck)
+SELECT doc_id, chunk, s AS start_at, s + length(chunk) AS end_at FROM o WHERE {_IS_AK}""")
+def akshara_offsets(spark, sf):
+    rows = T.chunk_rows(bengali(spark, sf), "doc_id", "t").filter("kind = 'akshara'")
+    return rows.select("doc_id", "chunk", _long(F.col("start")).alias("start_at"), _long(F.col("end")).alias("end_at"))
+
+
+@query(f"WITH {CHUNKS} SELECT lang, CASE WHEN {_IS_AK} THEN 'akshara' ELSE 'other' END AS kind, COUNT(*) AS n, CAST(SUM(length(chunk)) AS BIGINT) AS n_codepoints FROM ck WHERE {_IS_AK} GROUP BY ALL")
+def akshara_kind_counts(spark, sf):
+    rows = bengali(spark, sf).select("lang", F.explode(T.chunks(F.col("t"))).alias("chunk")).select("lang", "chunk", T.kind(F.col("chunk")).alias("kind"))
+    return rows.filter("kind = 'akshara'").groupBy("lang", "kind").agg(F.count("*").alias("n"), F.sum(F.length("chunk")).alias("n_codepoints"))
+
+
+@query(f"""
+WITH {BN}, m AS (SELECT lang, {N_WORDS} AS w, len(list_filter({CHUNK_SQL}, lambda c: regexp_matches(c, '^[{ch.C}{ch.V}]'))) AS a, strlen(t) AS b FROM bn)
+SELECT lang, COUNT(*) AS n_docs, CAST(SUM(w) AS BIGINT) AS n_words, CAST(SUM(a) AS BIGINT) AS n_tokens, CAST(SUM(b) AS BIGINT) AS n_bytes,
+       CAST(SUM(a) AS DOUBLE) / SUM(w) AS fertility, CAST(SUM(b) AS DOUBLE) / SUM(a) AS bytes_per_token
+FROM m GROUP BY lang""")
+def akshara_fertility_by_lang(spark, sf):
+    """The flagship: syllables as tokens, no vocabulary."""
+    t = F.col("t")
+    tokens = F.size(F.filter(T.chunks(t), T.is_akshara))
+    m = bengali(spark, sf).select("lang", _long(F.size(T.words(t))).alias("w"), _long(tokens).alias("a"), _long(T.bytes_of(t)).alias("b"))
+    sums = m.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum("w").alias("n_words"), F.sum("a").alias("n_tokens"), F.sum("b").alias("n_bytes"))
+    return sums.select("*", (F.col("n_tokens") / F.col("n_words")).alias("fertility"), (F.col("n_bytes") / F.col("n_tokens")).alias("bytes_per_token"))
+
+
+@query(f"""
+WITH {BN}, w AS (SELECT lang, unnest({WORDS_SQL % 't'}) AS w FROM bn)
+SELECT lang, COUNT(*) AS n_words, SUM(CASE WHEN regexp_full_match(w, '{_AK}') THEN 1 ELSE 0 END)::BIGINT AS n_single,
+       CAST(SUM(CASE WHEN regexp_full_match(w, '{_AK}') THEN 1 ELSE 0 END) AS DOUBLE) / COUNT(*) AS strr
+FROM w GROUP BY lang""")
+def akshara_strr_by_lang(spark, sf):
+    w = bengali(spark, sf).select("lang", F.explode(T.words(F.col("t"))).alias("w"))
+    single = w.select("lang", F.col("w").rlike(f"^(?:{ch.akshara()})$").cast("long").alias("one"))
+    sums = single.groupBy("lang").agg(F.count("*").alias("n_words"), F.sum("one").alias("n_single"))
+    return sums.select("*", (F.col("n_single") / F.col("n_words")).alias("strr"))
+
+
+@query(f"WITH {AKS} SELECT lang, SUM(CASE WHEN contains(chunk, '{ch.VIRAMA}') THEN 1 ELSE 0 END)::BIGINT AS n_conjunct, COUNT(*) AS n FROM ak GROUP BY lang")
+def conjunct_by_lang(spark, sf):
+    flag = F.col("chunk").contains(ch.VIRAMA).cast("long")
+    return _syllables(spark, sf).groupBy("lang").agg(F.sum(flag).alias("n_conjunct"), F.count("*").alias("n"))
+
+
+@query(f"""
+WITH {AKS}, d AS (SELECT chunk, COUNT(*) AS n FROM ak GROUP BY chunk)
+SELECT chunk, n, CAST(length(chunk) AS BIGINT) AS codepoints,
+  contains(chunk, '{ch.VIRAMA}') AND regexp_matches(chunk, '[{ch.C}]') AS conjunct,
+  starts_with(chunk, '{ch.RA}{ch.VIRAMA}') AS reph, contains(chunk, '{ch.VIRAMA}{ch.YA}') AS ya_phala,
+  contains(chunk, '{ch.VIRAMA}{ch.RA}') AND NOT starts_with(chunk, '{ch.RA}') AS ra_phala,
+  contains(chunk, '{ch.NUKTA}') AS nukta, regexp_matches(chunk, '^[{chr(0x980)}-{chr(0x9FF)}]') AS bengali
+FROM d""")
+def cluster_predicates(spark, sf):
+    d = _syllables(spark, sf).groupBy("chunk").agg(F.count("*").alias("n"))
+    x = d.select("chunk", "n", T.describe(F.col("chunk")).alias("d"))
+    return x.select("chunk", "n", _long(F.col("d.codepoints")).alias("codepoints"), "d.conjunct", "d.reph", "d.ya_phala", "d.ra_phala", "d.nukta", "d.bengali")
+
+
+_POSITIONS = ", ".join(f"('{m}', '{p}')" for m, p in sorted(ch.MATRA_POSITION.items()))
+
+
+@query(f"""
+WITH {BN}, c AS (SELECT unnest(regexp_extract_all(t, '[{ch.M}]')) AS m FROM bn), p(m, position) AS (VALUES {_POSITIONS})
+SELECT position, COUNT(*) AS n FROM c JOIN p USING (m) GROUP BY position""")
+def matra_position_hist(spark, sf):
+    signs = bengali(spark, sf).select(F.explode(F.regexp_extract_all("t", F.lit(f"[{ch.M}]"), F.lit(0))).alias("m"))
+    return signs.groupBy(T.matra_position(F.col("m")).alias("position")).agg(F.count("*").alias("n"))
+
+
+# --- features ---
+_ONSET_RE2 = ch.ONSET
+_ON = f"regexp_extract(chunk, '{_ONSET_RE2}')"
+_REST = f"CASE WHEN regexp_matches(chunk, '^[{ch.V}]') THEN substr(chunk, 2) ELSE substr(chunk, length({_ON}) + 1) END"
+
+
+def _featured(spark, sf) -> DataFrame:
+    """Distinct syllables with counts and features: each is taken apart once."""
+    d = _syllables(spark, sf).groupBy("chunk").agg(F.count("*").alias("n"))
+    return d.select("chunk", "n", T.features(F.col("chunk")).alias("f"))
+
+
+@query(f"""
+WITH {AKS}, o AS (SELECT array_to_string(regexp_extract_all({_ON}, '[{ch.C}]'), '+') AS onset FROM ak)
+SELECT onset, COUNT(*) AS n FROM o GROUP BY onset""")
+def onset_freq(spark, sf):
+    return _featured(spark, sf).groupBy(F.array_join("f.onset", "+").alias("onset")).agg(F.sum("n").alias("n"))
+
+
+@query(f"""
+WITH {AKS}, v AS (SELECT regexp_matches(chunk, '^[{ch.V}]') AS iv, chunk, regexp_extract_all({_REST}, '[{ch.M}]') AS ms FROM ak)
+SELECT CASE WHEN len(ms) > 0 THEN ms[len(ms)] WHEN iv THEN substr(chunk, 1, 1) END AS vowel, COUNT(*) AS n FROM v GROUP BY 1""")
+def vowel_freq(spark, sf):
+    return _featured(spark, sf).groupBy(F.col("f.vowel").alias("vowel")).agg(F.sum("n").alias("n"))
+
+
+@query(f"WITH {AKS}, m AS (SELECT unnest(regexp_extract_all({_REST}, '[{ch.K}]')) AS modifier FROM ak) SELECT modifier, COUNT(*) AS n FROM m GROUP BY modifier")
+def modifier_freq(spark, sf):
+    each = _featured(spark, sf).select("n", F.explode("f.modifiers").alias("modifier"))
+    return each.groupBy("modifier").agg(F.sum("n").alias("n"))
+
+
+@query(f"""
+WITH {AKS}, d AS (SELECT chunk, COUNT(*) AS n FROM ak GROUP BY chunk),
+s AS (SELECT chunk, n, CASE WHEN regexp_matches(chunk, '^[{ch.V}]') THEN chunk ELSE {_ON} END AS onset FROM d)
+SELECT chunk, n, onset, substr(chunk, length(onset) + 1) AS tail FROM s""")
+def onset_tail_split(spark, sf):
+    d = _syllables(spark, sf).groupBy("chunk").agg(F.count("*").alias("n"))
+    x = d.select("chunk", "n", T.onset_tail(F.col("chunk")).alias("s"))
+    return x.select("chunk", "n", "s.onset", "s.tail")
+
+
+@query(f"WITH {AKS} SELECT contains(chunk, '{ch.ZWJ}') AS has_zwj, contains(chunk, '{ch.ZWNJ}') AS has_zwnj, COUNT(*) AS n FROM ak GROUP BY 1, 2")
+def zw_flags(spark, sf):
+    return _featured(spark, sf).groupBy("f.has_zwj", "f.has_zwnj").agg(F.sum("n").alias("n"))
+
+
+_UNITS = f"regexp_extract_all({_ON}, '[{ch.C}][{ch.NUKTA}{ch.ZWJ}{ch.ZWNJ}]*')"
+
+
+@query(f"""
+WITH {AKS}, f AS (SELECT chunk, regexp_matches(chunk, '^[{ch.V}]') AS iv, {_UNITS} AS us, regexp_extract_all({_REST}, '[{ch.M}]') AS ms, regexp_extract_all({_REST}, '[{ch.K}]') AS ks FROM ak),
+r AS (SELECT chunk, array_to_string(list_transform(us, lambda u: substr(u, 1, 1) || CASE WHEN contains(u, '{ch.NUKTA}') THEN '{ch.NUKTA}' ELSE '' END), '{ch.VIRAMA}')
+  || CASE WHEN len(ms) > 0 THEN ms[len(ms)] WHEN iv THEN substr(chunk, 1, 1) ELSE '' END || array_to_string(ks, '') AS again FROM f)
+SELECT again = chunk AS is_lossless, COUNT(*) AS n FROM r GROUP BY 1""")
+def feature_lossless_rate(spark, sf):
+    return _featured(spark, sf).groupBy("f.is_lossless").agg(F.sum("n").alias("n"))
+
+
+# --- dictionaries ---
+@query(f"""
+WITH {BN} SELECT c AS ch, COUNT(*) AS n, CAST(ord(c) AS BIGINT) AS code
+FROM (SELECT unnest(string_split(t, '')) AS c FROM bn) WHERE c <> '' GROUP BY c""")
+def codepoint_inventory(spark, sf):
+    cs = bengali(spark, sf).select(F.explode(T.codepoints(F.col("t"))).alias("ch"))
+    return cs.groupBy("ch").agg(F.count("*").alias("n")).select("ch", "n", _long(F.ascii("ch")).alias("code"))
+
+
+_GUARANTEED = ", ".join(f"({c})" for c in sorted(map(ord, ch.GUARANTEED)) if chr(c) not in ch.WHITESPACE)
+PIECES = f"""{AKS},
+cps AS (SELECT DISTINCT unnest(string_split(chunk, '')) AS piece FROM ak UNION SELECT chr(g) FROM (VALUES {_GUARANTEED}) v(g)),
+fr AS (SELECT chunk AS piece, COUNT(*) AS freq, MIN(doc_id * 10000000 + pos) AS seen FROM ak GROUP BY chunk),
+al AS (SELECT piece, 0 AS grp, CAST(0 AS BIGINT) AS freq, CAST(0 AS BIGINT) AS seen FROM cps WHERE piece <> ''
+  UNION ALL SELECT piece, 1, freq, seen FROM fr WHERE length(piece) > 1 AND freq >= 2),
+rk AS (SELECT piece, grp, freq, row_number() OVER (ORDER BY grp, freq DESC, seen, piece) - 1 AS n FROM al),
+atoms AS (SELECT piece, n, grp, freq, chr(CAST(CASE WHEN n < 65534 THEN 983040 + n ELSE 1048576 + n - 65534 END AS INTEGER)) AS atom FROM rk)"""
+
+
+@query(f"WITH {PIECES} SELECT piece, CAST(n AS BIGINT) AS rank, CAST(freq AS BIGINT) AS freq, atom FROM atoms")
+def atom_assignment(spark, sf):
+    rows = _syllables(spark, sf)
+    made = dictionary.build(rows.select("doc_id", "pos", F.col("chunk").alias("piece")), min_freq=2, guarantee=ch.GUARANTEED)
+    return made.select("piece", _long(F.col("rank")).alias("rank"), "freq", "atom")
+
+
+@query(f"""
+WITH {PIECES}, d AS (SELECT chunk, COUNT(*) AS n FROM ak GROUP BY chunk)
+SELECT chunk, d.n AS n, CASE WHEN a.piece IS NULL THEN CAST(length(chunk) AS BIGINT) ELSE 1 END AS n_atoms
+FROM d LEFT JOIN atoms a ON d.chunk = a.piece""")
+def rare_cluster_decompose(spark, sf):
+    rows = _syllables(spark, sf)
+    made = dictionary.build(rows.select("doc_id", "pos", F.col("chunk").alias("piece")), min_freq=2, guarantee=ch.GUARANTEED)
+    d = rows.groupBy("chunk").agg(F.count("*").alias("n"))
+    found = d.join(F.broadcast(made.select(F.col("piece").alias("chunk"), F.lit(True).alias("known"))), "chunk", "left")
+    return found.select("chunk", "n", F.when(F.col("known"), F.lit(1)).otherwise(F.length("chunk")).cast("long").alias("n_atoms"))
+
+
+@query(f"""
+WITH {AKS}, d AS (SELECT chunk, COUNT(*) AS n FROM ak GROUP BY chunk),
+f AS (SELECT chunk, n, row_number() OVER (ORDER BY n DESC, chunk) <= 200 AS fused FROM d),
+s AS (SELECT chunk, n, fused, CASE WHEN regexp_matches(chunk, '^[{ch.V}]') THEN chunk ELSE {_ON} END AS onset FROM f)
+SELECT fused, COUNT(*) AS n_kinds, CAST(SUM(n) AS BIGINT) AS n, CAST(SUM(n * CASE WHEN fused OR onset = chunk THEN 1 ELSE 2 END) AS BIGINT) AS n_pieces FROM s GROUP BY fused""")
+def fused_vs_factored(spark, sf):
+    d = _syllables(spark, sf).groupBy("chunk").agg(F.count("*").alias("n"))
+    top = d.orderBy(F.desc("n"), "chunk").limit(200).select("chunk", F.lit(True).alias("top"))
+    s = d.join(F.broadcast(top), "chunk", "left").select("chunk", "n", F.coalesce("top", F.lit(False)).alias("fused"), T.onset_tail(F.col("chunk")).alias("s"))
+    pieces = F.when(F.col("fused") | (F.col("s.tail") == ""), 1).otherwise(2)
+    return s.groupBy("fused").agg(F.count("*").alias("n_kinds"), F.sum("n").alias("n"), F.sum(F.col("n") * pieces).alias("n_pieces"))
+
+
+@query(None)
+def dictionary_roundtrip(spark, sf):
+    """Texts as atoms and back, for the grapheme, syllable and hybrid dictionaries."""
+    docs = bengali(spark, sf).select("doc_id", T.normalize(F.col("t")).alias("t"))
+    out = None
+    for scheme in ("grapheme", "akshara", "hybrid"):
+        made = dictionary.learn(docs, "doc_id", "t", scheme)
+        coded = dictionary.encode(docs, made, "doc_id", "t")
+        back = dictionary.decode(coded, made, "doc_id", "atoms")
+        ok = docs.join(back, "doc_id").select("doc_id", F.lit(scheme).alias("scheme"), (F.col("text") == F.col("t")).alias("ok"))
+        out = ok if out is None else out.unionByName(ok)
+    return out
+
+
+# --- corpora ---
+@query("""
+WITH n AS (SELECT source, COUNT(*) AS n FROM documents GROUP BY source), w(source, weight) AS (VALUES ('src0', 0.5), ('src1', 0.3), ('src2', 0.15), ('src3', 0.05))
+SELECT source, CAST(greatest(1, round_even(1000 * weight / (SELECT SUM(weight) FROM w), 0)) AS BIGINT) AS n FROM w""")
+def weighted_mix_counts(spark, sf):
+    lines = table(spark, sf, "documents").select("source", "doc_id", "text")
+    return corpus.weighted_mix(lines, {"src0": 0.5, "src1": 0.3, "src2": 0.15, "src3": 0.05}, 1000, order=["doc_id"]).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH w(source, target) AS (VALUES ('src0', 500), ('src1', 300), ('src2', 150), ('src3', 50)),
+p AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k, COUNT(*) OVER (PARTITION BY source) AS n FROM documents),
+c AS (SELECT source, unnest(range(target)) AS i FROM w)
+SELECT c.source, c.i AS place, p.doc_id FROM c JOIN p ON p.source = c.source AND p.k = c.i % p.n""")
+def weighted_mix_rows(spark, sf):
+    lines = table(spark, sf, "documents").select("source", "doc_id", "text")
+    mixed = corpus.weighted_mix(lines, {"src0": 0.5, "src1": 0.3, "src2": 0.15, "src3": 0.05}, 1000, order=["doc_id"])
+    return mixed.select("source", "place", "doc_id")
+
+
+@query("""
+WITH r AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS k FROM documents),
+l AS (SELECT k, doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS n FROM r WHERE k > 50),
+s AS (SELECT doc_id, n, coalesce(SUM(n) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l)
+SELECT doc_id, CAST(n AS BIGINT) AS n_lines FROM s WHERE before < 800""")
+def heldout_slice(spark, sf):
+    docs = table(spark, sf, "documents")
+    return corpus.held_out(docs, skip=50, limit=800, order=["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("n_lines"))
+
+
+@query("""
+WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents)
+SELECT source, SUM(CASE WHEN k <= 10 THEN 1 ELSE 0 END)::BIGINT AS n_train, SUM(CASE WHEN k > 10 AND k <= 15 THEN 1 ELSE 0 END)::BIGINT AS n_held, CAST(0 AS BIGINT) AS n_both FROM r GROUP BY source""")
+def heldout_disjoint(spark, sf):
+    docs = table(spark, sf, "documents").select("source", "doc_id")
+    train = corpus.offset_limit(docs, 0, 10, order=["doc_id"], within=["source"])
+    held = corpus.offset_limit(docs, 10, 5, order=["doc_id"], within=["source"])
+    both = train.join(held, ["source", "doc_id"], "left_semi").groupBy("source").agg(F.count("*").alias("n_both"))
+    a = train.groupBy("source").agg(F.count("*").alias("n_train"))
+    b = held.groupBy("source").agg(F.count("*").alias("n_held"))
+    return a.join(b, "source", "left").join(both, "source", "left").fillna(0, ["n_held", "n_both"])
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k FROM documents WHERE lang = 'en') WHERE k > 20 AND k <= 120")
+def offset_limit_docs(spark, sf):
+    return corpus.offset_limit(table(spark, sf, "documents").filter("lang = 'en'").select("doc_id"), 20, 100, order=["doc_id"])
+
+
+@query("""
+SELECT source, 'known' AS status, COUNT(*) AS n FROM documents WHERE source IN ('src0', 'src1') GROUP BY source
+UNION ALL SELECT source, 'unknown', COUNT(*) FROM documents WHERE source NOT IN ('src0', 'src1') GROUP BY source""")
+def source_semi_anti(spark, sf):
+    docs = table(spark, sf, "documents").select("source")
+    config = spark.createDataFrame([("src0",), ("src1",)], "source string")
+    known = docs.join(F.broadcast(config), "source", "left_semi").groupBy("source").agg(F.count("*").alias("n")).withColumn("status", F.lit("known"))
+    unknown = docs.join(F.broadcast(config), "source", "left_anti").groupBy("source").agg(F.count("*").alias("n")).withColumn("status", F.lit("unknown"))
+    return known.unionByName(unknown).select("source", "status", "n")
+
+
+@query("""
+SELECT algo, CAST(size AS BIGINT) AS vocab_size, corpus, policy AS zwnj_policy, CAST(2 AS BIGINT) AS min_atom_freq
+FROM (VALUES ('bpe'), ('unigram')) a(algo), (VALUES (16000), (32000), (48000), (64000)) s(size), (VALUES ('web_natural'), ('literary_weighted')) c(corpus), (VALUES ('preserve')) p(policy)""")
+def ablation_grid(spark, sf):
+    return corpus.grid(spark, {"algo": ["bpe", "unigram"], "vocab_size": [16000, 32000, 48000, 64000], "corpus": ["web_natural", "literary_weighted"], "zwnj_policy": ["preserve"], "min_atom_freq": [2]})
+
+
+# --- scoring ---
+@query(f"""
+WITH {CHUNKS}, o AS (SELECT doc_id, lang, chunk, coalesce(SUM(length(chunk)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM ck)
+SELECT lang, COUNT(*) AS n_clusters, SUM(CASE WHEN (s + length(chunk) - 1) // 3 * 3 > s THEN 1 ELSE 0 END)::BIGINT AS n_fragmented,
+  CAST(SUM(CASE WHEN (s + length(chunk) - 1) // 3 * 3 > s THEN 1 ELSE 0 END) AS DOUBLE) / COUNT(*) AS fragmentation
+FROM o WHERE {_IS_AK} GROUP BY lang""")
+def fragmentation_offsets(spark, sf):
+    """Syllables that a tokenizer of three code points a token cuts inside."""
+    return scoring.fragmentation_of_fixed(T.chunk_rows(bengali(spark, sf), "doc_id", "t", ("lang",)).filter("kind = 'akshara'"), 3, "lang")
+
+
+@query(f"""
+WITH {BN}, w AS (SELECT lang, unnest({WORDS_SQL % 't'}) AS w FROM bn)
+SELECT lang, COUNT(*) AS n_words, COUNT(DISTINCT w) AS n_distinct, CAST(SUM(length(w)) AS BIGINT) AS n_codepoints FROM w GROUP BY lang""")
+def word_stats(spark, sf):
+    w = bengali(spark, sf).select("lang", F.explode(T.words(F.col("t"))).alias("w"))
+    return w.groupBy("lang").agg(F.count("*").alias("n_words"), F.countDistinct("w").alias("n_distinct"), F.sum(F.length("w")).alias("n_codepoints"))
+
+
+@query(None)
+def fragmentation_pairwise(spark, sf):
+    """Adjacent tokens of three code points that join into fewer clusters than they have apart."""
+    lines = bengali(spark, sf).select("lang", "t")
+    return scoring.pairwise_of_fixed(lines, "t", 3, "lang")
+
+
+@query(f"""
+WITH {BN}, m AS (SELECT {N_WORDS} AS w, strlen(t) AS b, len({CHUNK_SQL}) AS a, length(t) AS c FROM bn),
+r AS (SELECT 'syllables' AS model, SUM(a) AS n_tokens, SUM(w) AS n_words, SUM(b) AS n_bytes FROM m UNION ALL SELECT 'code points', SUM(c), SUM(w), SUM(b) FROM m)
+SELECT model, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(n_words AS BIGINT) AS n_words, CAST(n_tokens AS DOUBLE) / n_words AS fertility, CAST(n_bytes AS DOUBLE) / n_tokens AS bytes_per_token FROM r""".replace(f"len({CHUNK_SQL})", f"len(list_filter({CHUNK_SQL}, lambda c: regexp_matches(c, '^[{ch.C}{ch.V}]')))"))
+def score_union_sorted(spark, sf):
+    t = F.col("t")
+    m = bengali(spark, sf).select(F.size(T.words(t)).alias("w"), T.bytes_of(t).alias("b"), F.size(F.filter(T.chunks(t), T.is_akshara)).alias("a"), F.length(t).alias("c"))
+    sums = m.agg(*(F.sum(x).alias(x) for x in "wbac"))
+    rows = sums.select(F.explode(F.array(*(F.struct(F.lit(name).alias("model"), F.col(x).alias("n_tokens")) for name, x in (("syllables", "a"), ("code points", "c"))))).alias("r"), "w", "b")
+    out = rows.select("r.model", "r.n_tokens", F.col("w").alias("n_words"), (F.col("r.n_tokens") / F.col("w")).alias("fertility"), (F.col("b") / F.col("r.n_tokens")).alias("bytes_per_token"))
+    return out.orderBy("fertility")
+
+
+# --- subword vocabularies ---
+@query(f"""
+WITH {BN} SELECT word, COUNT(*) AS n FROM (SELECT unnest(string_split(regexp_replace('{ch.MARKER}' || replace(t, ' ', '{ch.MARKER}'), '(.){ch.MARKER}', '\\1' || chr(1) || '{ch.MARKER}', 'g'), chr(1))) AS word FROM (SELECT regexp_replace(replace(replace(t, chr(10), ' '), '  ', ' '), '^ ', '') AS t FROM bn)) GROUP BY word""")
+def word_counts(spark, sf):
+    one = F.regexp_replace(F.replace(F.replace("t", F.lit("\n"), F.lit(" ")), F.lit("  "), F.lit(" ")), "^ ", "")
+    return subword.word_counts(bengali(spark, sf).select(one.alias("t")), "t")
+
+
+@query(f"""
+WITH {BN}, w AS (SELECT w, COUNT(*) AS n FROM (SELECT unnest({WORDS_SQL % 't'}) AS w FROM bn) GROUP BY w),
+p AS (SELECT n, substr(w, CAST(i AS BIGINT), 1) AS a, substr(w, CAST(i + 1 AS BIGINT), 1) AS b FROM (SELECT w, n, unnest(range(1, length(w))) AS i FROM w))
+SELECT a, b, CAST(SUM(n) AS BIGINT) AS n FROM p GROUP BY a, b""")
+def bpe_pair_counts(spark, sf):
+    """Counts of the first round of pair merging, over distinct words."""
+    w = bengali(spark, sf).select(F.explode(T.words(F.col("t"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return subword.pair_counts(w)
+
+
+def _small_model(spark, sf, algo: str, scheme: str):
+    docs = bengali(spark, sf).filter("lang = 'en'").select("doc_id", "t")
+    return docs, subword.train(docs, "doc_id", "t", scheme=scheme, algo=algo, vocab_size=2500)
+
+
+@query(None)
+def bpe_vocab(spark, sf):
+    return subword.vocab_table(spark, _small_model(spark, sf, "bpe", "akshara")[1])
+
+
+@query(None)
+def bpe_encode_lengths(spark, sf):
+    docs, model = _small_model(spark, sf, "bpe", "grapheme")
+    return subword.encode(docs, model, "doc_id", "t").select("doc_id", F.size("ids").alias("n_tokens"))
+
+
+@query(None)
+def bpe_roundtrip(spark, sf):
+    docs, model = _small_model(spark, sf, "bpe", "akshara")
+    return subword.roundtrip(docs, model, "doc_id", "t")
+
+
+@query(None)
+def unigram_encode_lengths(spark, sf):
+    docs, model = _small_model(spark, sf, "unigram", "akshara")
+    return subword.encode(docs, model, "doc_id", "t").select("doc_id", F.size("ids").alias("n_tokens"))
+
+
+@query(None)
+def hybrid_guarded_scores(spark, sf):
+    """The hybrid scheme's report: its guard leaves no syllable cut."""
+    docs, model = _small_model(spark, sf, "bpe", "hybrid")
+    return scoring.report(docs, model, "doc_id", "t")
+
+
+@query(None)
+def model_comparison(spark, sf):
+    """Reports of the schemes over one held-out slice, by tokens per word."""
+    docs = bengali(spark, sf).filter("lang = 'en'").select("doc_id", "t")
+    held = corpus.offset_limit(docs, 0, 40, order=["doc_id"])
+    return scoring.compare(held, {s: subword.train(docs, "doc_id", "t", scheme=s, vocab_size=2500) for s in ("grapheme", "akshara", "hybrid")}, "doc_id", "t")
