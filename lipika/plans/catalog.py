@@ -457,9 +457,16 @@ def bpe_pair_counts(spark, sf):
     return subword.pair_counts(w)
 
 
+_MODELS: dict[tuple[str, str, str], subword.Model] = {}
+
+
 def _small_model(spark, sf, algo: str, scheme: str):
-    docs = bengali(spark, sf).filter("lang = 'en'").select("doc_id", "t")
-    return docs, subword.train(docs, "doc_id", "t", scheme=scheme, algo=algo, vocab_size=2500)
+    """One language's documents and a model of them, trained once in a session."""
+    docs = bengali(spark, sf).filter("lang = 'es'").select("doc_id", "t")
+    key = (sf, algo, scheme)
+    if key not in _MODELS:
+        _MODELS[key] = subword.train(docs, "doc_id", "t", scheme=scheme, algo=algo, vocab_size=1500)
+    return docs, _MODELS[key]
 
 
 @query(None)
@@ -495,6 +502,6 @@ def hybrid_guarded_scores(spark, sf):
 @query(None)
 def model_comparison(spark, sf):
     """Reports of the schemes over one held-out slice, by tokens per word."""
-    docs = bengali(spark, sf).filter("lang = 'en'").select("doc_id", "t")
+    docs, _ = _small_model(spark, sf, "bpe", "akshara")
     held = corpus.offset_limit(docs, 0, 40, order=["doc_id"])
-    return scoring.compare(held, {s: subword.train(docs, "doc_id", "t", scheme=s, vocab_size=2500) for s in ("grapheme", "akshara", "hybrid")}, "doc_id", "t")
+    return scoring.compare(held, {s: _small_model(spark, sf, "bpe", s)[1] for s in ("grapheme", "akshara", "hybrid")}, "doc_id", "t")
