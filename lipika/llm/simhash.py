@@ -136,7 +136,8 @@ def within_budgets(a: Column, b: Column, masks: list[tuple[int, int]], tau: int)
 
             return F.aggregate(F.sequence(F.lit(0), F.lit(m - 1)), F.struct(F.lit(0).alias("sum"), F.lit(True).alias("ok")), step, lambda acc: acc["ok"])
 
-        return F.exists(F.sequence(F.lit(0), F.lit(m - 1)), chain)
+        # few starts of unlike fingerprints are within the budget of their first segment
+        return F.exists(F.filter(F.sequence(F.lit(0), F.lit(m - 1)), lambda s: F.get(d, s) * m <= tau), chain)
 
     return F.element_at(F.transform(F.array(diffs), viable), 1)
 
@@ -157,16 +158,20 @@ def links(nodes: DataFrame, tau: int, key_masks: list[tuple[int, int]], masks: l
     :func:`near_duplicates`); there each node of a large key is compared with the key's least
     node, and the key is made longer by each of the two segments that follow it.
     """
-    keyed = nodes.select("node", "fp", "key", F.explode(chain_keys(F.col("key"), key_masks, run)).alias("k"))
-    keyed = keyed.select("node", "fp", "key", F.xxhash64("k.start", "k.bits").alias("bucket"), F.col("k.start").alias("start"))
+    keyed = nodes.select("node", F.explode(chain_keys(F.col("key"), key_masks, run)).alias("k"))
+    keyed = keyed.select("node", F.xxhash64("k.start", "k.bits").alias("bucket"), F.col("k.start").alias("start"))
+    prints = nodes.select("node", "fp")
 
     def close(a: Column, b: Column) -> Column:
         return within_budgets(a, b, masks, tau) & (hamming(a, b, width) <= tau)
 
     def met(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Close pairs of the keys with few nodes, and the nodes of the others (with the least node of their key)."""
-        sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("node", "fp")).alias("least")).filter("n > 1")
-        shared = written(rows.join(sizes, "bucket"), "buckets")
+        """Close pairs of the keys with few nodes, and the nodes of the others (with the least node of their key).
+
+        Only rows of shared keys get their fingerprints, by a join on the node.
+        """
+        sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1")
+        shared = written(rows.join(sizes, "bucket").join(prints, "node"), "buckets")
         few = shared.filter(F.col("n") <= small)
         left = few.select("bucket", F.col("node").alias("a"), F.col("fp").alias("fa"))
         right = few.select("bucket", F.col("node").alias("b"), F.col("fp").alias("fb"))
@@ -182,11 +187,12 @@ def links(nodes: DataFrame, tau: int, key_masks: list[tuple[int, int]], masks: l
         return edges.unionByName(near.join(stars, "between").filter("node <> m").select(F.col("node").alias("a"), F.col("m").alias("b"))).distinct()
 
     def star(rows: DataFrame) -> DataFrame:
-        return rows.filter("node <> least.node").filter(close(F.col("fp"), F.col("least.fp"))).select(F.col("node").alias("a"), F.col("least.node").alias("b"))
+        ends = prints.select(F.col("node").alias("least"), F.col("fp").alias("fb"))
+        return rows.filter("node <> least").join(ends, "least").filter(close(F.col("fp"), F.col("fb"))).select(F.col("node").alias("a"), F.col("least").alias("b"))
 
     # a large key is met again with one of the two segments that follow it
     following = F.array(*(F.xxhash64("bucket", F.get(F.transform(chain_keys(F.col("key"), key_masks, 1), lambda k: k["bits"]), (F.col("start") + d) % len(key_masks)), F.lit(d)) for d in (1, 2)))
-    longer = many.select("node", "fp", "key", "start", F.explode(following).alias("bucket"))
+    longer = many.select("node", "bucket", "start").join(nodes.select("node", "key"), "node").select("node", "start", F.explode(following).alias("bucket"))
     more, still = met(longer)
     return edges.unionByName(star(many)).unionByName(more).unionByName(star(still)).distinct()
 
