@@ -44,9 +44,7 @@ def offset_limit(df: DataFrame, offset: int, limit: int | None, order: list[str]
     keep = F.col(name) >= offset
     if limit is not None:
         keep = keep & (F.col(name) < offset + limit)
-    rank = F.row_number().over(Window.partitionBy(*within).orderBy(*order)) - 1 if within else None
-    ranked = df.withColumn(name, rank) if within else placed(df, order, name)
-    return ranked.filter(keep).drop(name)
+    return placed(df, order, name, within).filter(keep).drop(name)
 
 
 def lines_of(docs: DataFrame, text: str = "text", sentences: bool = False) -> DataFrame:
