@@ -27,6 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lipika.llm.topk import most_frequent
+from lipika.session import written
+
 SIDE = 2
 HALF = 64
 WORDS = HALF * HALF
@@ -190,7 +193,7 @@ def vocabulary_of(docs: DataFrame, text: str = "text") -> list[str]:
         yield out()
 
     counted = docs.select(text).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(KNOWN).collect()]
+    return [r["word"] for r in most_frequent(written(counted, "words"), KNOWN, "word").collect()]
 
 
 def train(docs: DataFrame, known: list[str], text: str = "text", rounds: int = ROUNDS) -> np.ndarray:
