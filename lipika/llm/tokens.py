@@ -20,6 +20,8 @@ from tokenizers import Tokenizer
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: White space besides spaces and line feeds; NUL is the cut mark below.
 _ODD = re.compile(f"[\0{SPACE.replace(' ', '').replace(chr(10), '')}]")
+#: Texts that are encoded together: what is new in them is encoded once.
+TEXTS = 1000
 #: Longer pieces are not remembered.
 LONGEST = 64
 _RUNS = re.compile(f"([{SPACE}]+)")
@@ -28,7 +30,7 @@ _RUNS = re.compile(f"([{SPACE}]+)")
 class ByteEncoder:
     """Encodes texts into little-endian unsigned 32-bit ids, as the tokenizers library does without special tokens."""
 
-    def __init__(self, path: str, remember: int = 600_000):
+    def __init__(self, path: str, remember: int = 500_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -139,8 +141,8 @@ def token_table(docs: DataFrame, path: str, end_id: int | None = 0, id_col: str
         enc = encoder(path)
         kind = id_type(enc.tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
                 ids = [np.frombuffer(x + end, "<u4").astype(kind) for x in enc.encode_batch(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["id", "n", "ids"]
