@@ -32,9 +32,13 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lipika.llm.tokens import SPACE
+from lipika.llm.topk import most_frequent
+from lipika.session import written
 
 LEXICON_WORDS = 1 << 16
 LONGEST = 64
+#: Texts that are encoded together: what is new in them is encoded once.
+TEXTS = 2000
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _SPACES = re.compile(f"[{SPACE}]+")
 #: Blocks whose letters and numbers every Unicode version knows alike.
@@ -230,7 +234,7 @@ class Lexicon:
 class Codec:
     """Encoder and decoder of whole texts: automaton first, exact merges for the rest; a bounded memory of stretches."""
 
-    def __init__(self, path: str, lexicon: Lexicon, remember: int = 250_000):
+    def __init__(self, path: str, lexicon: Lexicon, remember: int = 600_000):
         self.bpe = WordBpe(path)
         self.lexicon = lexicon
         self.remember = remember
@@ -257,29 +261,33 @@ class Codec:
 
     def encode_batch(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
         """(ids as little-endian unsigned 32-bit integers, decoded text) of each text."""
-        cut, new = [], set()
+        known, find = self.known, self.known.get
+        cut: list[list[str] | None] = []
+        found: list[list] = []
+        new: set[str] = set()
         for t in texts:
             if t and any(s in t for s in self.bpe.special):
                 cut.append(None)
+                found.append([])
                 continue
-            cut.append(self.bpe.chunks(self.bpe.normal(t)) if t else [])
-            new.update(cut[-1])
-        new -= self.known.keys()
-        table = self.known
-        if new:
-            fresh = self._encode_new(sorted(new))
-            if len(self.known) < self.remember:
-                self.known |= fresh
-            else:
-                table = fresh | {c: self.known[c] for cs in cut if cs for c in cs if c in self.known}
+            chunks = self.bpe.chunks(self.bpe.normal(t)) if t else []
+            got = list(map(find, chunks))
+            if None in got:
+                new.update([c for c, g in zip(chunks, got) if g is None])
+            cut.append(chunks)
+            found.append(got)
+        fresh = self._encode_new(list(new)) if new else {}
         out = []
-        for t, cs in zip(texts, cut):
-            if cs is None:
+        for t, chunks, got in zip(texts, cut, found):
+            if chunks is None:
                 i = self._library(t)
                 out.append((np.array(i, "<u4").tobytes(), self.decode(i)))
-            else:
-                got = [table[c] for c in cs]
-                out.append((b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[1]])))
+                continue
+            if None in got:
+                got = [fresh[c] if g is None else g for c, g in zip(chunks, got)]
+            out.append((b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[1]])))
+        if len(known) < self.remember:  # what came first is met most often
+            known.update({c: g for c, g in fresh.items() if len(c) <= LONGEST})
         return out
 
 
@@ -327,8 +335,9 @@ def _codec(path: str, image: bytes) -> Codec:
 
 
 def build(docs: DataFrame, path: str, text: str = "text", size: int = LEXICON_WORDS) -> bytes:
-    """The lexicon image of the corpus's most frequent words; at most ``size`` words reach the driver."""
-    top = word_counts(docs, path, text).orderBy(F.desc("n"), "word").limit(size).select("word").toPandas()["word"].tolist()
+    """The lexicon image of the corpus's most frequent words (of those met twice); at most ``size`` words reach the driver."""
+    counts = written(word_counts(docs, path, text).filter("n > 1"), "words")
+    top = most_frequent(counts, size, "word").select("word").toPandas()["word"].tolist()
     bpe = _bpe(path)
     words = [w for w in top if len(w) <= LONGEST]
     return compile_lexicon(words, [bpe.merge(w) for w in words])
@@ -341,8 +350,8 @@ def encode(docs: DataFrame, path: str, image: bytes, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path, shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
                 got = codec.encode_batch(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(g[0]) // 4 for g in got], pa.int64()), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.string())],
