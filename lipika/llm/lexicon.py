@@ -38,7 +38,7 @@ from lipika.session import written
 LEXICON_WORDS = 1 << 16
 LONGEST = 64
 #: Texts that are encoded together: what is new in them is encoded once.
-TEXTS = 2000
+TEXTS = 1000
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _SPACES = re.compile(f"[{SPACE}]+")
 #: Blocks whose letters and numbers every Unicode version knows alike.
@@ -234,7 +234,7 @@ class Lexicon:
 class Codec:
     """Encoder and decoder of whole texts: automaton first, exact merges for the rest; a bounded memory of stretches."""
 
-    def __init__(self, path: str, lexicon: Lexicon, remember: int = 600_000):
+    def __init__(self, path: str, lexicon: Lexicon, remember: int = 300_000):
         self.bpe = WordBpe(path)
         self.lexicon = lexicon
         self.remember = remember
