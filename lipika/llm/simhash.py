@@ -7,8 +7,8 @@ of such a chain, as many as have a budget below one bit, are therefore equal: th
 key under which candidates meet. A candidate must then have a chain within the budgets
 before its full Hamming distance is looked at.
 
-Large groups: identical fingerprints are one node. A key that more than ``small`` nodes
-share is never expanded into pairs. With ``tau`` <= 2 its nodes are linked exactly, through
+Large groups: identical fingerprints are one node. With ``tau`` <= 2 a key that more than
+``small`` nodes share is never expanded into pairs: its nodes are linked exactly, through
 the fingerprints that lie between them: two fingerprints differ in at most two bits if and
 only if they share one of their one-bit neighbours (or are such neighbours), so it is
 enough to tie each node to the least node of each of its neighbours' stars.
@@ -25,35 +25,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lipika.llm import shingles
 from lipika.llm.components import components
+from lipika.llm.shingles import run_hashes
 from lipika.session import written
 
-SEED = 42
 CHUNK = 1 << 15
+BLOCK = 256
 _MIX = 0x9E3779B97F4A7C15
 
 
-def _hashes(text: str | None, words: int) -> np.ndarray:
-    """XXH64 of each run of ``words`` words, repeats included; A-Z are lower-cased."""
-    parts = (text or "").encode("utf-8").lower().split()
-    if not parts:
-        return np.zeros(0, np.uint64)
-    if len(parts) <= words:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(parts), SEED)], np.uint64)
-    if words == 1:
-        return np.fromiter((xxhash.xxh64_intdigest(p, SEED) for p in parts), np.uint64, len(parts))
-    joined = b" ".join(parts)
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    ends = np.cumsum(sizes + 1) - 1
-    starts = (ends - sizes)[: len(parts) - words + 1].tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist())), np.uint64, len(starts))
-
-
 def _widened(h: np.ndarray, width: int) -> np.ndarray:
     """``width`` independent 64-bit words from each hash; the first is the hash itself."""
     out = np.empty((len(h), width), "<u8")
@@ -68,7 +52,7 @@ def _widened(h: np.ndarray, width: int) -> np.ndarray:
 
 def fingerprint(text: str | None, words: int = 3, width: int = 1, distinct: bool = False) -> np.ndarray:
     """``width`` words of 64 bits; a bit is set if it is set in over half of the shingles' hashes."""
-    h = _hashes(text, words)
+    h = run_hashes(text, words)
     if distinct:
         h = np.unique(h)
     ones = np.zeros(64 * width, np.int64)
@@ -153,10 +137,8 @@ def links(nodes: DataFrame, tau: int, key_masks: list[tuple[int, int]], masks: l
     """Edges ``(a, b)`` that connect all nodes whose fingerprints differ in at most ``tau`` bits.
 
     ``nodes``: ``node`` (long, unique), ``key``, ``fp``. Keys with at most ``small`` nodes give
-    their pairs. Larger ones are linked through shared one-bit neighbours where ``tau`` <= 2,
-    which is exact. For a larger ``tau`` candidates are found with a probability (see
-    :func:`near_duplicates`); there each node of a large key is compared with the key's least
-    node, and the key is made longer by each of the two segments that follow it.
+    their pairs. Larger ones are linked through shared one-bit neighbours where ``tau`` <= 2;
+    for a larger ``tau`` all their nodes are compared, in blocks. Both are exact.
     """
     keyed = nodes.select("node", F.explode(chain_keys(F.col("key"), key_masks, run)).alias("k"))
     keyed = keyed.select("node", F.xxhash64("k.start", "k.bits").alias("bucket"), F.col("k.start").alias("start"))
@@ -186,19 +168,15 @@ def links(nodes: DataFrame, tau: int, key_masks: list[tuple[int, int]], masks: l
         stars = near.groupBy("between").agg(F.min("node").alias("m"))
         return edges.unionByName(near.join(stars, "between").filter("node <> m").select(F.col("node").alias("a"), F.col("m").alias("b"))).distinct()
 
-    def star(rows: DataFrame) -> DataFrame:
-        ends = prints.select(F.col("node").alias("least"), F.col("fp").alias("fb"))
-        return rows.filter("node <> least").join(ends, "least").filter(close(F.col("fp"), F.col("fb"))).select(F.col("node").alias("a"), F.col("least").alias("b"))
-
-    # a large key is met again with one of the two segments that follow it
-    following = F.array(*(F.xxhash64("bucket", F.get(F.transform(chain_keys(F.col("key"), key_masks, 1), lambda k: k["bits"]), (F.col("start") + d) % len(key_masks)), F.lit(d)) for d in (1, 2)))
-    longer = many.select("node", "bucket", "start").join(nodes.select("node", "key"), "node").select("node", "start", F.explode(following).alias("bucket"))
-    more, still = met(longer)
-    return edges.unionByName(star(many)).unionByName(more).unionByName(star(still)).distinct()
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    left = many.select("bucket", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("node").alias("a"), F.col("fp").alias("fa"))
+    right = many.select("bucket", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), F.col("node").alias("b"), F.col("fp").alias("fb"))
+    pairs = left.join(right, ["bucket", "block"]).filter("a < b").filter(close(F.col("fa"), F.col("fb"))).select("a", "b")
+    return edges.unionByName(pairs).distinct()
 
 
-#: Similarity 0.8 of 5-word shingles: cosine 2 * 0.8 / 1.8 of the shingle sets, so 0.152 of the bits differ (62 of 384 leaves 0.4 deviations).
-WIDE = {"words": 5, "width": 6, "tau": 62, "per_word": 4, "keys": {"words": 1, "width": 8, "per_word": 3, "distinct": True}}
+#: Arguments of :func:`lipika.llm.shingles.similar`: a pair with 0.8 of its 5-word shingles in common is met with a probability of 1 - (1 - 0.8 ** 4) ** 32, all but 5e-8.
+WIDE = {"words": 5, "rows": 4, "bands": 32}
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -206,7 +184,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how)
 
     A repeated id counts as one document: one of its rows stays.
     """
-    found = near_duplicates(docs.filter(F.col(id_col).isNotNull()), id_col, text, **(how or WIDE))
+    found = shingles.similar(docs.filter(F.col(id_col).isNotNull()), id_col, text, **(how or WIDE))
     kept = written(found.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("n")), "kept")
     rows = docs.join(kept.select(id_col), id_col, "left_semi")
     if kept.filter("n > 1").limit(1).count():
@@ -222,31 +200,21 @@ def near_duplicates(
     tau: int = 2,
     width: int = 1,
     per_word: int = 5,
-    keys: dict | None = None,
     small: int = 16,
 ) -> DataFrame:
     """``id_col``, ``fp`` (array of long) and ``component_id`` (the least id that links reach).
 
     ``words`` in a shingle, ``width`` words of 64 bits, ``per_word`` segments in each. A key
-    takes as many segments as the budgets force to be equal, at least one. ``keys`` are the
-    arguments of a second fingerprint that only gives keys, for a ``tau`` so large that equal
-    segments of the first would be too short to tell candidates apart. Then a pair is met if
-    one of that fingerprint's segments is equal: with :data:`WIDE` and a share of 0.08 differing
-    bits, as texts with 0.8 of their 5-word shingles in common have in their distinct words,
-    that is 1 - (1 - 0.92 ** 21.3) ** 24 = 98 % of pairs; groups are found through any of their pairs.
+    takes as many segments as the budgets force to be equal, at least one.
     """
     masks = segment_masks(width, per_word)
     run = max(1, math.ceil(len(masks) / tau) - 1) if tau else len(masks)
-    key_masks = segment_masks(keys["width"], keys["per_word"]) if keys else masks
-    if keys:
-        run = 1
-        keys = {k: v for k, v in keys.items() if k != "per_word"}
-    fps = written(fingerprints(docs, id_col, text, keys, {"words": words, "width": width}), "fingerprints")
-    node = F.get("fp", F.lit(0)) if width == 1 and keys is None else F.xxhash64("fp", "key")
+    fps = written(fingerprints(docs, id_col, text, check={"words": words, "width": width}), "fingerprints")
+    node = F.get("fp", F.lit(0)) if width == 1 else F.xxhash64("fp")
     fps = fps.withColumn("node", node)
     nodes = fps.groupBy("node").agg(F.min(id_col).alias("least_id"), F.first("fp").alias("fp"), F.first("key").alias("key"))
     nodes = written(nodes, "nodes")
-    roots = components(links(nodes, tau, key_masks, masks, run, width, small))
+    roots = components(links(nodes, tau, masks, masks, run, width, small))
     linked = roots.join(nodes.select("node", "least_id"), "node")
     least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
     by_node = linked.select("node", "root").join(least, "root").select("node", "component_id")
