@@ -1,10 +1,12 @@
 """Substring deduplication over sliding runs of sentences.
 
 A text is cut into sentences; a sentence of over ``LONG`` words is cut further after words
-chosen by their own hash, so that the same passage is cut alike wherever it stands. Every
-run of ``run`` consecutive sentences is hashed and the hashes meet in one global count. A
-run with ``min_words`` words or more that has occurred before, in the order of ids and
-positions, marks all its sentences, and marked sentences are removed.
+chosen by their own hash, so that the same passage is cut alike wherever it stands. From
+each sentence on, and back from each, the run of the fewest consecutive sentences is hashed
+that has ``run`` of them and ``min_words`` words; so short sentences make longer runs, and
+the first and the last sentences of a passage are in some run inside it. The hashes meet in
+one global count. A run that has occurred before, in the order of ids and positions, marks
+all its sentences, and marked sentences are removed.
 
 Defined results: a null text stays null and a blank one stays as it is. A text of fewer
 than ``run`` sentences is one run. Rows with equal id and text are one occurrence, so
@@ -54,16 +56,45 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     return out
 
 
-def run_hashes(text: str | None, run: int, min_words: int) -> list[tuple[int, int]]:
-    """(position, hash) of each run with words enough."""
+def spans_of(sizes: list[int], run: int, min_words: int) -> list[tuple[int, int]]:
+    """(first, end) of the runs to hash: from each sentence on, and back from each, the fewest that are enough."""
+    n = len(sizes)
+    run = min(run, n)
+    total = [0]
+    for k in sizes:
+        total.append(total[-1] + k)
+    out, end, first = set(), 0, 0
+    for k in range(n):
+        end = max(end, k + run)
+        while end <= n and total[end] - total[k] < min_words:
+            end += 1
+        if end <= n:
+            out.add((k, end))
+        stop = k + 1
+        while first + 1 <= stop - run and total[stop] - total[first + 1] >= min_words:
+            first += 1
+        if stop >= run and total[stop] - total[first] >= min_words:
+            out.add((first, stop))
+    return sorted(out)
+
+
+def span_hashes(text: str | None, run: int, min_words: int) -> list[tuple[int, int, int]]:
+    """(position, sentences, hash) of each run."""
     cut = sentences(text) if text else []
     joined = [" ".join(s[2]) for s in cut]
-    sizes = [len(s[2]) for s in cut]
     out = []
-    for k in range(max(1, len(cut) - run + 1) if cut else 0):
-        if sum(sizes[k : k + run]) >= min_words:
-            h = xxhash.xxh64_intdigest(" ".join(joined[k : k + run]).encode("utf-8", "replace"))
-            out.append((k, h - (1 << 64) if h >> 63 else h))
+    for a, z in spans_of([len(s[2]) for s in cut], run, min_words):
+        h = xxhash.xxh64_intdigest(" ".join(joined[a:z]).encode("utf-8", "replace"))
+        out.append((a, z - a, h - (1 << 64) if h >> 63 else h))
+    return out
+
+
+def run_hashes(text: str | None, run: int, min_words: int) -> list[tuple[int, int]]:
+    """(position, hash) of pieces of ``run`` sentences that together cover each run; a longer run has several."""
+    out = []
+    for at, n, h in span_hashes(text, run, min_words):
+        for k in sorted({*range(0, n - run, run), max(0, n - run)}):
+            out.append((at + k, h if n <= run else xxhash.xxh64_intdigest(b"%d %d" % (h, k)) - (1 << 63)))
     return out
 
 
@@ -75,22 +106,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, rows, at, hs = [], [], [], []
+            ids, rows, at, ns, hs = [], [], [], [], []
             for i, r, t in zip(*(c.to_pylist() for c in batch.columns)):
-                found = run_hashes(t, run, min_words)
+                found = span_hashes(t, run, min_words)
                 ids += [i] * len(found)
                 rows += [r] * len(found)
                 at += [x[0] for x in found]
-                hs += [x[1] for x in found]
+                ns += [x[1] for x in found]
+                hs += [x[2] for x in found]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, batch.column(0).type), pa.array(rows, pa.int64()), pa.array(at, pa.int32()), pa.array(hs, pa.int64())], names=["id", "row", "at", "h"]
+                [pa.array(ids, batch.column(0).type), pa.array(rows, pa.int64()), pa.array(at, pa.int32()), pa.array(ns, pa.int32()), pa.array(hs, pa.int64())], names=["id", "row", "at", "n", "h"]
             )
 
-    runs = written(keyed.select(id_col, row, text).mapInArrow(hashed, f"id {id_type}, row bigint, at int, h bigint"), "runs")
+    runs = written(keyed.select(id_col, row, text).mapInArrow(hashed, f"id {id_type}, row bigint, at int, n int, h bigint"), "runs")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "row", "at")
-    repeated = runs.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1")
-    later = runs.join(repeated, "h").filter(~place.eqNullSafe(F.col("first"))).select("row", "at").distinct()
-    marks = later.groupBy("row").agg(F.collect_list("at").alias("at"))  # at most a document's sentences
+    repeated = runs.groupBy("h").agg(F.count("*").alias("times"), F.min(place).alias("first")).filter("times > 1")
+    later = runs.join(repeated, "h").filter(~place.eqNullSafe(F.col("first"))).select("row", "at", runs["n"]).distinct()
+    marks = later.groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("at"))  # at most a document's sentences
 
     first_mark, out_text, out_removed = free_name(docs, "marks"), free_name(docs, "new_text"), free_name(docs, "removed")
     joined = keyed.join(marks.select(F.col("row").alias(row), F.col("at").alias(first_mark)), row, "left")
@@ -107,7 +139,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 removed.append([])
                 continue
             parts = sentences(t)
-            gone = sorted({k for a in at for k in range(a, min(a + run, len(parts)))})
+            gone = sorted({k for a in at for k in range(a["at"], a["at"] + a["n"])})
             lost = set(gone)
             new.append("".join(t[a:z] for k, (a, z, _) in enumerate(parts) if k not in lost))
             merged: list[dict] = []

@@ -61,3 +61,23 @@ def test_nulls_ties_and_empty_tables(spark):
     got = sorted([(r.doc_id, r.text) for r in spans.remove_repeats(df).collect()], key=str)
     assert got == sorted([(1, None), (2, ""), (None, ""), (4, PASSAGE), (4, PASSAGE), (6, "\n ")], key=str)
     assert spans.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_passages_of_short_sentences(spark):
+    """Over 50 words in sentences of three to five words: no two neighbours have 12."""
+    rng = __import__("random").Random(3)
+    passage = " ".join(" ".join(f"p{rng.randrange(10**6)}" for _ in range(rng.randrange(3, 6))) + "." for _ in range(15))
+    docs = [(1, filler(1) + " " + passage + " " + filler(2)), (2, filler(3) + " " + passage + " " + filler(4)), (3, passage), (4, filler(5) + " " + passage.replace(". ", "\n"))]
+    got = {r.doc_id: r.text for r in spans.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: docs[0][1], 2: filler(3) + " " + filler(4), 3: "", 4: docs[3][1]}
+    assert got == brute(docs, 2, 12)
+
+
+def test_each_sentence_of_a_passage_is_in_a_run_inside_it():
+    rng = __import__("random").Random(1)
+    for _ in range(300):
+        sizes = [rng.randrange(1, 9) for _ in range(rng.randrange(1, 20))]
+        found = spans.spans_of(sizes, 2, 12)
+        assert all(sum(sizes[a:z]) >= 12 and (z - a >= 2 or len(sizes) == 1) for a, z in found)
+        if sum(sizes) >= 12:
+            assert {k for a, z in found for k in range(a, z)} == set(range(len(sizes)))
