@@ -41,3 +41,17 @@ def test_large_keys_lose_no_pair(spark):
     assert max(held.values()) > 16
     assert kept(spark, texts) == expected
     assert kept(spark, texts, small=1000) == expected
+
+
+def test_block_edits_are_found_and_less_alike_texts_stay(spark):
+    """Copies whose last words were replaced in one piece, on both sides of 0.8."""
+    rng = random.Random(8)
+    texts = []
+    for d in range(40):
+        w = [f"d{d}w{rng.randrange(10**6)}" for _ in range(200)]
+        for share in (16, 30):
+            texts += [" ".join(w), " ".join(w[: 200 - share] + [f"d{d}s{share}t{k}" for k in range(share)])]
+    sets = [plain(t) for t in texts]
+    expected = least_of_components(range(len(texts)), lambda a, b: like(sets[a], sets[b]))
+    assert len(set(expected.values())) == 80
+    assert kept(spark, texts) == set(expected.values())
