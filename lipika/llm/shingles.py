@@ -152,7 +152,7 @@ def links(nodes: DataFrame, texts: DataFrame, words: int, small: int) -> DataFra
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, rows: int = 4, bands: int = 32, small: int = 16) -> DataFrame:
-    """``id_col``, ``text_key``, ``node`` and ``component_id`` (the least id that links reach) of each row."""
+    """``id_col``, ``text_key`` (hash of the text), ``node`` and ``root`` (the same for all rows that links reach) of each row."""
     found = written(signatures(docs, id_col, text, words, rows, bands), "signatures")
     nodes = written(found.groupBy("node").agg(F.min(F.struct(id_col, "text_key")).alias("least"), F.first("size").alias("size"), F.first("keys").alias("keys")), "nodes")
     # one row's text for each node
@@ -160,6 +160,4 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words:
     source = docs.select(id_col, F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
     texts = written(owner.join(source, [id_col, "text_key"]).select("node", "text").dropDuplicates(["node"]), "texts")
     roots = written(components(links(nodes, texts, words, small)), "roots")
-    by_node = nodes.select("node", f"least.{id_col}").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = by_node.groupBy("root").agg(F.min(id_col).alias("component_id"))
-    return found.select(id_col, "text_key", "node").join(by_node.select("node", "root").join(least, "root"), "node").select(id_col, "text_key", "node", "component_id")
+    return found.select(id_col, "text_key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

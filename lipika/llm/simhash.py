@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lipika.columns import free_name
 from lipika.llm import shingles
 from lipika.llm.components import components
 from lipika.llm.shingles import run_hashes
@@ -182,13 +183,14 @@ WIDE = {"words": 5, "rows": 4, "bands": 32}
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The frame with the row of least id of each component; rows without an id take part in none and stay.
 
-    A repeated id counts as one document: one of its rows stays.
+    Rows that share an id but not their text are documents of their own; of equal rows one stays.
     """
     found = shingles.similar(docs.filter(F.col(id_col).isNotNull()), id_col, text, **(how or WIDE))
-    kept = written(found.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("n")), "kept")
-    rows = docs.join(kept.select(id_col), id_col, "left_semi")
-    if kept.filter("n > 1").limit(1).count():
-        rows = rows.dropDuplicates([id_col])
+    one = F.min(F.struct(id_col, "text_key")).alias("one")
+    key = free_name(docs, "text_key")
+    kept = written(found.groupBy("root").agg(one).select(f"one.{id_col}", F.col("one.text_key").alias(key)), "kept")
+    rows = docs.withColumn(key, F.xxhash64(text)).join(kept, [id_col, key], "left_semi").dropDuplicates([id_col, key])
+    rows = rows.select(docs.columns)
     return rows.unionByName(docs.filter(F.col(id_col).isNull()))
 
 

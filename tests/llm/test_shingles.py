@@ -55,3 +55,10 @@ def test_block_edits_are_found_and_less_alike_texts_stay(spark):
     expected = least_of_components(range(len(texts)), lambda a, b: like(sets[a], sets[b]))
     assert len(set(expected.values())) == 80
     assert kept(spark, texts) == set(expected.values())
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    one, other = (" ".join(f"{x}{k}" for k in range(100)) for x in "ab")
+    rows = [(1, one), (2, other), (2, one), (3, one), (3, " ".join(f"c{k}" for k in range(100))), (3, one)]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.text[0]) for r in got.collect()) == [(1, "a"), (2, "b"), (3, "c")]
