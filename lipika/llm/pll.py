@@ -7,8 +7,8 @@ of the conditional log-probabilities of all its words.
 
 Vocabulary: words are counted over all documents; the most frequent ``KNOWN`` have numbers of
 their own and the others share ``SHARED`` by hash. Training runs over all documents too: each
-task trains a copy on its rows, with one word in ``MASK`` as the target of each step, and the
-copies are averaged, weighted by their targets; ``ROUNDS`` times. What is gathered are word
+task trains a copy on its rows, with every word as a target in each round, and the copies are
+averaged, weighted by their targets; ``ROUNDS`` times. What is gathered are word
 counts and one set of weights for each task, so it grows with the corpus; what reaches the
 driver (the vocabulary and one set of weights) has a fixed size.
 
@@ -36,7 +36,6 @@ WORDS = HALF * HALF
 SHARED = 256
 KNOWN = WORDS - SHARED - 1
 DIM, HIDDEN = 16, 48
-MASK = 8
 ROUNDS = 2
 BATCH = 2048
 RATE = 0.08
@@ -199,16 +198,16 @@ def vocabulary_of(docs: DataFrame, text: str = "text") -> list[str]:
 def train(docs: DataFrame, known: list[str], text: str = "text", rounds: int = ROUNDS) -> np.ndarray:
     """The flat weights after ``rounds`` of training on all documents and averaging."""
     flat = Network().flat
-    for turn in range(rounds):
+    for _ in range(rounds):
         start = docs.sparkSession.sparkContext.broadcast((known, flat))  # a fixed size
 
-        def run(batches: Iterator[pa.RecordBatch], start=start, turn=turn) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
             vocabulary, network = Vocabulary(start.value[0]), Network(start.value[1])
             contexts, targets, held, n = [], [], 0, 0
             for batch in batches:
                 for t in batch.column(0).to_pylist():
                     numbers = vocabulary.numbers(t)
-                    at = np.arange((len(numbers) + turn) % MASK, len(numbers), MASK)
+                    at = np.arange(len(numbers))
                     if not len(at):
                         continue
                     contexts.append(windows(_padded(numbers), at))

@@ -73,3 +73,38 @@ def test_nulls_ties_and_empty_tables(spark):
     assert sorted((r.doc_id or 0, r.n_words, r.mean_log_probability is None) for r in rows) == [(0, 2, False), (1, 0, True), (2, 0, True), (3, 2, False), (3, 2, False)]
     assert len({r.log_probability for r in rows if r.n_words}) == 1
     assert pll.score_corpus(df.limit(0)).count() == 0
+
+
+def test_every_position_is_a_target_in_each_round(spark, tmp_path, monkeypatch):
+    """Words at any one place of a text train the output layers: a word that stands only there is learned."""
+    seen = str(tmp_path / "targets")
+    step = pll.Network.step
+
+    def noted(self, context, target):
+        with open(seen, "a") as f:
+            f.write("".join(f"{t}\n" for t in target.tolist()))
+        return step(self, context, target)
+
+    monkeypatch.setattr(pll.Network, "step", noted)
+    words = [f"w{k}" for k in range(21)]
+    df = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    made = pll.Vocabulary(words)
+
+    class Local:
+        """The frame's interface as far as the training task: runs it here."""
+
+        sparkSession = spark
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            import pyarrow as pa
+
+            out = [b for b in run(iter([pa.RecordBatch.from_arrays([pa.array([" ".join(words)])], names=["text"])]))]
+            return spark.createDataFrame([(r["n"], r["flat"]) for b in out for r in b.to_pylist()], schema)
+
+    pll.train(Local(), words, rounds=2)
+    with open(seen) as f:
+        assert sorted(map(int, f.read().split())) == sorted(2 * [made[w] for w in words])
+    assert len(pll.train(df, words, rounds=1)) == pll.N_WEIGHTS
