@@ -6,7 +6,8 @@ two steps, the upper and the lower half of the word's number. A document's score
 of the conditional log-probabilities of all its words.
 
 Vocabulary: words are counted over all documents; the most frequent ``KNOWN`` have numbers of
-their own and the others share ``SHARED`` by hash. Training runs over all documents too: each
+their own and the others share ``SHARED`` by hash; among those that share a number, a word has
+its part of their count in the corpus, from a written table of all words. Training runs over all documents too: each
 task trains a copy on its rows, with every word as a target in each round, and the copies are
 averaged, weighted by their targets; ``ROUNDS`` times. What is gathered are word
 counts and one set of weights for each task, so it grows with the corpus; what reaches the
@@ -173,8 +174,8 @@ def score_texts(network: Network, vocabulary: Vocabulary, texts: list[str | None
     return list(zip(sizes.tolist(), sums.tolist()))
 
 
-def vocabulary_of(docs: DataFrame, text: str = "text") -> list[str]:
-    """The most frequent ``KNOWN`` words of all documents, ties by word."""
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``word`` and ``n`` of all documents, as a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -192,7 +193,21 @@ def vocabulary_of(docs: DataFrame, text: str = "text") -> list[str]:
         yield out()
 
     counted = docs.select(text).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in most_frequent(written(counted, "words"), KNOWN, "word").collect()]
+    return written(counted, "words")
+
+
+def vocabulary_of(docs: DataFrame, text: str = "text", counts: DataFrame | None = None) -> list[str]:
+    """The most frequent ``KNOWN`` words of all documents, ties by word; ``counts`` are theirs if known."""
+    counts = word_counts(docs, text) if counts is None else counts
+    return [r["word"] for r in most_frequent(counts, KNOWN, "word").collect()]
+
+
+def shares(counts: DataFrame, known: list[str]) -> DataFrame:
+    """``word`` and ``log_share`` of the words without a number: the log of each one's part of its bucket's count."""
+    numbered = counts.sparkSession.createDataFrame([(w,) for w in known], "word string")
+    rest = counts.join(F.broadcast(numbered), "word", "left_anti").withColumn("bucket", F.crc32(F.encode("word", "UTF-8")) % SHARED)
+    totals = rest.groupBy("bucket").agg(F.sum("n").alias("total"))  # one row a bucket
+    return rest.join(F.broadcast(totals), "bucket").select("word", F.log(F.col("n") / F.col("total")).alias("log_share"))
 
 
 def train(docs: DataFrame, known: list[str], text: str = "text", rounds: int = ROUNDS) -> np.ndarray:
@@ -234,25 +249,43 @@ def train(docs: DataFrame, known: list[str], text: str = "text", rounds: int = R
     return flat
 
 
-def score(docs: DataFrame, known: list[str], flat: np.ndarray, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id_col``, ``n_words``, ``log_probability`` (the sum) and ``mean_log_probability``."""
+def score(docs: DataFrame, known: list[str], flat: np.ndarray, id_col: str = "doc_id", text: str = "text", counts: DataFrame | None = None) -> DataFrame:
+    """``id_col``, ``n_words``, ``log_probability`` (the sum) and ``mean_log_probability``.
+
+    With ``counts`` (of a corpus that holds ``docs``) a word without a number has its bucket's
+    probability times its part of the bucket's count; without them, the bucket's.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((known, flat))
+    rare_words = counts is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, network = Vocabulary(shared.value[0]), Network(shared.value[1])
+        numbered = frozenset(shared.value[0])
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
                 part = batch.slice(at, 100)
-                got = score_texts(network, vocabulary, part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.float64())], names=["id", "n_words", "log_probability"])
+                texts = part.column(2).to_pylist()
+                got = score_texts(network, vocabulary, texts)
+                rare = [Counter(w for w in words_of(t) if w not in numbered) if rare_words else {} for t in texts]
+                columns = [part.column(0), part.column(1), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.float64())]
+                columns += [pa.array([list(r) for r in rare], pa.list_(pa.string())), pa.array([list(r.values()) for r in rare], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "n_words", "log_probability", "words", "times"])
 
     id_name = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(id_col, text).mapInArrow(run, f"id {id_name}, n_words bigint, log_probability double")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), id_col, text)
+    out = rows.mapInArrow(run, f"row bigint, id {id_name}, n_words bigint, log_probability double, words array<string>, times array<bigint>")
+    if rare_words:
+        out = written(out, "scores")
+        each = out.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
+        parts = each.join(shares(counts, known), "word").groupBy("row").agg(F.sum(F.col("times") * F.col("log_share")).alias("within"))
+        out = out.join(parts, "row", "left").withColumn("log_probability", F.col("log_probability") + F.coalesce("within", F.lit(0.0)))
+    out = out.select(F.col("id").alias(id_col), "n_words", "log_probability")
     mean = F.when(F.col("n_words") > 0, F.col("log_probability") / F.col("n_words"))
-    return out.withColumnRenamed("id", id_col).withColumn("mean_log_probability", mean)
+    return out.withColumn("mean_log_probability", mean)
 
 
 def score_corpus(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Vocabulary, training and scores over the same documents."""
-    known = vocabulary_of(docs, text)
-    return score(docs, known, train(docs, known, text), id_col, text)
+    counts = word_counts(docs, text)
+    known = vocabulary_of(docs, text, counts)
+    return score(docs, known, train(docs, known, text), id_col, text, counts)

@@ -108,3 +108,23 @@ def test_every_position_is_a_target_in_each_round(spark, tmp_path, monkeypatch):
     with open(seen) as f:
         assert sorted(map(int, f.read().split())) == sorted(2 * [made[w] for w in words])
     assert len(pll.train(df, words, rounds=1)) == pll.N_WEIGHTS
+
+
+def test_rare_words_count_by_their_own_frequency(spark, monkeypatch):
+    """Two words of one bucket, one three times as frequent: the scores differ by its logarithm, and the parts of a bucket sum to one."""
+    monkeypatch.setattr(pll, "KNOWN", 1)
+    import zlib
+
+    bucket = {}
+    for k in range(10**6):
+        same = bucket.setdefault(zlib.crc32(f"r{k}".encode()) % pll.SHARED, [])
+        same.append(f"r{k}")
+        if len(same) == 2:
+            break
+    a, b = same
+    rows = [(1, f"the {a} the"), (2, f"the {b} the"), (3, f"the {b} {b} the")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.log_probability for r in pll.score_corpus(df).collect()}
+    assert got[2] - got[1] == pytest.approx(np.log(3), abs=1e-4)
+    part = pll.shares(pll.word_counts(df), ["the"]).collect()
+    assert {r.word for r in part} == {a, b} and sum(np.exp(r.log_share) for r in part) == pytest.approx(1)
