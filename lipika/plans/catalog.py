@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lipika import charset as ch
@@ -460,48 +460,58 @@ def bpe_pair_counts(spark, sf):
 _MODELS: dict[tuple[str, str, str], subword.Model] = {}
 
 
-def _small_model(spark, sf, algo: str, scheme: str):
-    """One language's documents and a model of them, trained once in a session."""
-    docs = bengali(spark, sf).filter("lang = 'es'").select("doc_id", "t")
+def _model(spark, sf, algo: str, scheme: str):
+    """All documents and a model of them, trained once in a session."""
+    docs = bengali(spark, sf).select("doc_id", "t")
     key = (sf, algo, scheme)
     if key not in _MODELS:
-        _MODELS[key] = subword.train(docs, "doc_id", "t", scheme=scheme, algo=algo, vocab_size=1500)
+        _MODELS[key] = subword.train(docs, "doc_id", "t", scheme=scheme, algo=algo)
     return docs, _MODELS[key]
 
 
+def _held_out() -> Column:
+    """A tenth of the documents, by the hash of their ids."""
+    return F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 0
+
+
 @query(None)
 def bpe_vocab(spark, sf):
-    return subword.vocab_table(spark, _small_model(spark, sf, "bpe", "akshara")[1])
+    return subword.vocab_table(spark, _model(spark, sf, "bpe", "akshara")[1])
 
 
 @query(None)
 def bpe_encode_lengths(spark, sf):
-    docs, model = _small_model(spark, sf, "bpe", "grapheme")
+    docs, model = _model(spark, sf, "bpe", "grapheme")
     return subword.encode(docs, model, "doc_id", "t").select("doc_id", F.size("ids").alias("n_tokens"))
 
 
 @query(None)
 def bpe_roundtrip(spark, sf):
-    docs, model = _small_model(spark, sf, "bpe", "akshara")
+    docs, model = _model(spark, sf, "bpe", "akshara")
     return subword.roundtrip(docs, model, "doc_id", "t")
 
 
 @query(None)
 def unigram_encode_lengths(spark, sf):
-    docs, model = _small_model(spark, sf, "unigram", "akshara")
+    docs, model = _model(spark, sf, "unigram", "akshara")
     return subword.encode(docs, model, "doc_id", "t").select("doc_id", F.size("ids").alias("n_tokens"))
 
 
 @query(None)
 def hybrid_guarded_scores(spark, sf):
     """The hybrid scheme's report: its guard leaves no syllable cut."""
-    docs, model = _small_model(spark, sf, "bpe", "hybrid")
+    docs, model = _model(spark, sf, "bpe", "hybrid")
     return scoring.report(docs, model, "doc_id", "t")
 
 
 @query(None)
 def model_comparison(spark, sf):
-    """Reports of the schemes over one held-out slice, by tokens per word."""
-    docs, _ = _small_model(spark, sf, "bpe", "akshara")
-    held = corpus.offset_limit(docs, 0, 40, order=["doc_id"])
-    return scoring.compare(held, {s: _small_model(spark, sf, "bpe", s)[1] for s in ("grapheme", "akshara", "hybrid")}, "doc_id", "t")
+    """Reports of the schemes over a tenth of the documents by models of the others, by tokens per word."""
+    docs = bengali(spark, sf).select("doc_id", "t")
+    models = {}
+    for scheme in ("grapheme", "akshara", "hybrid"):
+        key = (sf, "bpe held out", scheme)
+        if key not in _MODELS:
+            _MODELS[key] = subword.train(docs.filter(~_held_out()), "doc_id", "t", scheme=scheme)
+        models[scheme] = _MODELS[key]
+    return scoring.compare(docs.filter(_held_out()), models, "doc_id", "t")
