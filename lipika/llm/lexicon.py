@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lipika.llm.tokens import SPACE
+from lipika.llm.tokens import SPACE, byte_symbols
 from lipika.llm.topk import most_frequent
 from lipika.session import written
 
@@ -46,19 +46,6 @@ _PLAIN = re.compile("[!-~\xa1-ɏ‐-‧‰-⁞]+\\Z")
 _ARRAYS = ("first", "labels", "targets", "adds", "final", "offsets", "ids")
 
 
-def byte_symbols() -> list[str]:
-    """The printable character for each byte in byte-level vocabularies."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    table, n = [""] * 256, 0
-    for b in range(256):
-        if b in shown:
-            table[b] = chr(b)
-        else:
-            table[b] = chr(256 + n)
-            n += 1
-    return table
-
-
 class WordBpe:
     """Exact encoding of single words by the file's merges."""
 

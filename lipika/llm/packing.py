@@ -9,11 +9,12 @@ end to end and cut at the windows' edges, so only the very last sequence has pad
 
 The plan is arithmetic over (length, rank): the rank of a document among those with its
 remainder gives its sequence and offset. Ranks are taken within (length, salt) groups whose
-number grows with the corpus, so a length that a third of all documents share is spread.
+number grows with the corpus; the salt is taken from the row's number in the written table, so
+neither a length nor an id that a third of all rows share lands in one group.
 
 Defined results: a null text is empty (with an end id it is one token). A document without
-tokens gives no piece. Ties and repeated rows are ordered by id, then by their tokens; rows
-that are equal in both are interchangeable.
+tokens gives no piece. Ties and repeated rows are packed row by row. Which of the documents
+with one remainder takes which place follows the rows' order in the table.
 """
 
 from __future__ import annotations
@@ -136,7 +137,7 @@ def plan(histogram: np.ndarray, window: int) -> Plan:
 
 def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int | None = 0, id_col: str = "doc_id", text: str = "text", rows_per_salt: int = 10_000, with_ids: bool = True) -> DataFrame:
     """One row for each piece: ``id_col``, ``start``, ``length``, ``ids`` (binary; null without ``with_ids``), ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``."""
-    table = written(token_table(docs, path, end_id, id_col, text), "tokens")
+    table = written(token_table(docs, path, end_id, id_col, text).withColumn("row", F.monotonically_increasing_id()), "tokens")
     left = F.pmod("n", F.lit(window)).cast("int").alias("left")
     counted = table.groupBy(left).count().collect()  # at most ``window`` rows
     histogram = np.zeros(window, np.int64)
@@ -144,11 +145,11 @@ def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int | None = 0,
         histogram[r["left"]] = r["count"]
     made = plan(histogram, window)
     salts = max(64, int(histogram.sum()) // rows_per_salt)
-    salted = table.select("*", left, F.pmod(F.xxhash64("id", "n"), F.lit(salts)).alias("salt"))
+    salted = table.select("*", left, F.pmod(F.xxhash64("row"), F.lit(salts)).alias("salt"))
     sizes = salted.groupBy("left", "salt").count()
     before = Window.partitionBy("left").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("left", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    order = Window.partitionBy("left", "salt").orderBy("id", "ids")
+    order = Window.partitionBy("left", "salt").orderBy("row")
     ranked = salted.join(bases, ["left", "salt"]).select("id", "ids", (F.col("base") + F.row_number().over(order) - 1).alias("rank"))
     kind = id_type(Tokenizer.from_file(path))
 

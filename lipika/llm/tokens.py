@@ -1,133 +1,203 @@
-"""Exact byte-level BPE encoding with a tokenizers file, at the cost of one lookup a word.
-
-The file's pre-tokenizer never joins text across white space except for one leading
-space, so a text is cut there, and each piece is encoded once by the tokenizers library
-and remembered (up to a bound; beyond it pieces are encoded again in each batch). Texts
-that hold a special token's string go to the library whole.
+"""Exact byte-level BPE encoding with a tokenizers file, at the cost of one lookup a piece.
+
+The file's pre-tokenizer never joins text across white space except for one leading space,
+nor an ASCII letter or digit to a mark after it, so texts are cut there, all of a group of
+texts together in numpy. Each piece is encoded once and remembered by its hash, up to
+``REMEMBER`` pieces in flat arrays (some 30 MB); beyond that pieces are encoded again in
+each group. Texts that hold a special token's string, a zero byte or white space beyond
+ASCII go to the tokenizers library whole.
+
+Pieces of letters that every Unicode version knows alike are merged by tiktoken from the
+same file's ranks where :func:`ranks` proves that this gives the same ids, others by the
+tokenizers library.
 """
 
 from __future__ import annotations
 
+import functools
+import json
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-#: White space of the pre-tokenizer's patterns.
-SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-#: White space besides spaces and line feeds; NUL is the cut mark below.
-_ODD = re.compile(f"[\0{SPACE.replace(' ', '').replace(chr(10), '')}]")
-#: Texts that are encoded together: what is new in them is encoded once.
-TEXTS = 1000
-#: Longer pieces are not remembered.
-LONGEST = 64
-_RUNS = re.compile(f"([{SPACE}]+)")
+from lipika.llm import flat as fl
+
+#: White space of the pre-tokenizer's patterns, as code points.
+SPACE_CODES = (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+SPACE = "".join(map(chr, SPACE_CODES))
+REMEMBER = 1 << 19
+_OUTER = re.compile(b"|".join(re.escape(chr(c).encode()) for c in SPACE_CODES if c > 127))
+#: Blocks whose letters and numbers every Unicode version knows alike.
+PLAIN = "!-~\xa1-\u024f\u2010-\u2027\u2030-\u205e"
+_KNOWN = re.compile(f" ?[{PLAIN}]+")
+#: Fixed value: the byte-level pre-tokenizer's pattern.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# classes of bytes
+_WHITE, _PLAIN, _MARK, _LEAD = 1, 2, 4, 8
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[[c for c in SPACE_CODES if c < 128]] = _WHITE
+_CLASS[[c for c in range(128) if chr(c).isalnum()]] = _PLAIN
+_CLASS[[c for c in range(33, 127) if not chr(c).isalnum()]] = _MARK
+_CLASS[sorted({chr(c).encode()[0] for c in SPACE_CODES if c > 127})] = _LEAD
+
+
+def cut(flat: np.ndarray) -> np.ndarray:
+    """Where pieces start; zero bytes are pieces of their own."""
+    kind = _CLASS[flat]
+    white, zero = kind == _WHITE, flat == 0
+    solid = ~(white | zero)
+    starts = zero.copy()
+    starts[:1] = True
+    starts[1:] |= zero[:-1] | (white[1:] & ~white[:-1])  # texts, and white space
+    starts[:-1] |= white[:-1] & solid[1:]  # the last of the white space: a space goes with the word after it
+    starts[1:] |= solid[1:] & white[:-1] & (flat[:-1] != 32)
+    starts[1:] |= (kind[1:] == _MARK) & (kind[:-1] == _PLAIN)
+    return np.flatnonzero(starts)
+
+
+def byte_symbols() -> list[str]:
+    """The printable character for each byte in byte-level vocabularies."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    table, n = [""] * 256, 0
+    for b in range(256):
+        if b in shown:
+            table[b] = chr(b)
+        else:
+            table[b] = chr(256 + n)
+            n += 1
+    return table
+
+
+@functools.lru_cache(2)
+def ranks(path: str) -> dict[bytes, int] | None:
+    """The file's tokens as bytes with their ids, if joining the pair whose token has the least id is the file's own rule.
+
+    That holds if the merges' tokens have rising ids, are all tokens but the single bytes, and
+    each token by itself is merged into one: then, when a pair's token has the least id of all,
+    what stands in its place is what the token alone has before its last merge, so the pair is
+    that merge's.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, cuts = spec["model"], spec["pre_tokenizer"]
+    symbols = byte_symbols()
+    back = {s: b for b, s in enumerate(symbols)}
+    made = [model["vocab"].get("".join(m) if isinstance(m, list) else m.replace(" ", "")) for m in model["merges"]]
+    alone = {model["vocab"].get(s) for s in symbols}
+    plain = cuts["type"] == "ByteLevel" and cuts["use_regex"] and not cuts["add_prefix_space"] and spec["normalizer"] is None
+    if not plain or None in made or None in alone or made != sorted(set(made)) or set(made) | alone != set(model["vocab"].values()) or max(alone) >= made[0]:
+        return None
+    merge = Tokenizer.from_file(path).model.tokenize
+    if any(len(merge(t)) != 1 for t in model["vocab"]):
+        return None
+    return {bytes(back[c] for c in t): k for t, k in model["vocab"].items()}
 
 
 class ByteEncoder:
-    """Encodes texts into little-endian unsigned 32-bit ids, as the tokenizers library does without special tokens."""
+    """Encodes texts into ids, as the tokenizers library does without special tokens; ``end_id`` follows each text."""
 
-    def __init__(self, path: str, remember: int = 500_000):
+    def __init__(self, path: str, end_id: int | None = None, remember: int = REMEMBER, ranked: dict[bytes, int] | None = None):
+        self.ranked = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranked, special_tokens={}) if ranked else None
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.line_feed = self._whole("\n")
-        self.remember = remember
-        self.pieces: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {"": b""}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _cut(self, text: str) -> list[str]:
-        plain = not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " ")
-        if plain and not _ODD.search(text):  # single spaces and line feeds between words
-            return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-        out, parts = [], _RUNS.split(text)
-        lead = ""
-        for k, part in enumerate(parts):
-            if k % 2 == 0:
-                if part:
-                    out.append(lead + part)
-                lead = ""
-            elif k == len(parts) - 2 and not parts[-1]:
-                out.append(part)  # white space at the end is one piece
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.kind = id_type(self.tokenizer)
+        self.end = np.array([] if end_id is None else [end_id], self.kind)
+        self.line_feed = int(self._whole("\n")[0])
+        self.table, self.lists = fl.Table(remember), fl.Lists(self.kind)
+        zero = np.zeros(1, np.uint8)
+        self.table.add(fl.hashes(zero, np.array([0]), np.array([1])))
+        self.lists.add([self.end])  # what ends a text
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+
+    def _encode_new(self, new: list[str]) -> list[np.ndarray]:
+        """Pieces without line feeds are encoded as the lines of one text."""
+        found: list[np.ndarray] = [self.end] * len(new)
+        by_rank, by_library = [], []
+        for k, p in enumerate(new):
+            if self.ranked and _KNOWN.fullmatch(p):
+                by_rank.append(k)
+            elif "\n" in p or p.isspace():
+                found[k] = self._whole(p)
             else:
-                lead = " " if part[-1] == " " else ""
-                out += [part[:-1]] if len(part) > 1 else []
-                out += [] if lead else [part[-1]]
-        return out
-
-    def _encode_new(self, new: list[str]) -> dict[str, bytes]:
-        """Pieces without line feeds go through the library as the lines of one text."""
-        lines = [p for p in new if "\n" not in p and not p.isspace()]
-        found = {p: self._whole(p) for p in new if "\n" in p or p.isspace()}
-        for at in range(0, len(lines), 20_000):
-            some = lines[at : at + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == np.frombuffer(self.line_feed, "<u4")[0])
-            if len(cuts) != len(some) - 1:
-                found |= {p: self._whole(p) for p in some}
-                continue
-            raw, edges = ids.tobytes(), [-1, *cuts.tolist(), len(ids)]
-            found |= {p: raw[4 * a + 4 : 4 * z] for p, a, z in zip(some, edges, edges[1:])}
+                by_library.append(k)
+        library = lambda text: self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        for places, whole in ((by_rank, self.ranked and self.ranked.encode_ordinary), (by_library, library)):
+            for at in range(0, len(places), 20_000):
+                some = places[at : at + 20_000]
+                ids = np.array(whole("\n".join([new[k] for k in some])), self.kind)
+                edges = [-1, *np.flatnonzero(ids == self.line_feed).tolist(), len(ids)]
+                for j, k in enumerate(some):
+                    found[k] = ids[edges[j] + 1 : edges[j + 1]] if len(edges) == len(some) + 1 else self._whole(new[k])
         return found
 
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text; null is empty."""
-        known, find = self.pieces, self.pieces.get
-        cut: list[list[str] | None] = []
-        found: list[list[bytes | None]] = []
-        new: set[str] = set()
-        for t in texts:
-            if t and any(s in t for s in self.special):
-                cut.append(None)
-                found.append([self._whole(t)])
-                continue
-            pieces = self._cut(t) if t else []
-            ids = list(map(find, pieces))
-            if None in ids:
-                new.update([p for p, i in zip(pieces, ids) if i is None])
-            cut.append(pieces)
-            found.append(ids)
-        fresh = self._fresh(new) if new else {}
-        out = [b"".join([fresh[p] if i is None else i for p, i in zip(c, ids)] if c and None in ids else ids) for c, ids in zip(cut, found)]
-        if len(known) < self.remember:
-            known.update({p: i for p, i in fresh.items() if len(p) <= LONGEST})
-        return out
-
-    def _fresh(self, new: set[str]) -> dict[str, bytes]:
-        """Ids of pieces that are not remembered, by their words."""
-        split = {p: _parts(p) for p in new}
-        words = self.words
-        wanted = {w for pair in split.values() for w in pair}.difference(words)
-        added = self._encode_new(list(wanted))
-        words |= added
-        out = {p: words[a] + words[b] for p, (a, b) in split.items()}
-        for w in added:  # what came first is met most often
-            if len(words) > self.remember or len(w) > LONGEST:
-                del words[w]
-        return out
-
-
-def _parts(piece: str) -> tuple[str, str]:
-    """A piece without and with the marks at its end: the pre-tokenizer never joins a mark to a letter before it."""
-    core = piece.rstrip(".,;:!?")
-    return (core, piece[len(core) :]) if len(core) < len(piece) and core[-1:].isalpha() else (piece, "")
-
-
-_ENCODERS: dict[str, ByteEncoder] = {}
-
-
-def encoder(path: str) -> ByteEncoder:
-    """One encoder for each file in a worker process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ByteEncoder(path)
-    return _ENCODERS[path]
+    def _odd(self, flat: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        """Numbers of the texts that go to the library whole."""
+        places = []
+        raw = None
+        if (flat == 0).sum() > len(marks):
+            places += np.setdiff1d(np.flatnonzero(flat == 0), marks).tolist()
+        if (_CLASS[flat] == _LEAD).any():
+            raw = flat.tobytes()
+            places += [m.start() for m in _OUTER.finditer(raw)]
+        for s in self.special:
+            if (flat == s[0]).any():
+                raw = flat.tobytes() if raw is None else raw
+                at = raw.find(s)
+                while at >= 0:
+                    places.append(at)
+                    at = raw.find(s, at + 1)
+        return np.unique(np.searchsorted(marks, places, "left")) if places else np.zeros(0, np.int64)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and where each text's end; no text may be null."""
+        flat, marks = fl.joined(texts)
+        odd = self._odd(flat, marks)
+        if len(odd):
+            return self._with_odd(texts, odd.tolist())
+        starts = cut(flat)
+        ends = np.append(starts[1:], len(flat))
+        h = fl.hashes(flat, starts, ends)
+        number = self.table.find(h).astype(np.int64)
+        long = ends - starts > fl.LONGEST
+        number[long] = -1
+        missing = np.flatnonzero(number < 0)
+        base = self.lists.n
+        if len(missing):
+            short = missing[~long[missing]]
+            new, first, back = np.unique(h[short], return_index=True, return_inverse=True)
+            rest = missing[long[missing]]
+            at = np.concatenate([short[first], rest])
+            self.lists.add(self._encode_new(fl.strings(flat, starts[at], ends[at])))
+            number[short] = base + back
+            number[rest] = base + len(new) + np.arange(len(rest))
+        ids, stops = self.lists.gather(number)
+        if len(missing):
+            self.lists.keep(base + self.table.add(new))
+        return ids, stops[flat[starts] == 0]
+
+    def _with_odd(self, texts: pa.Array, odd: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        parts, sizes, at = [], [], 0
+        for k in [*odd, len(texts)]:
+            if k > at:
+                ids, ends = self.encode(texts.slice(at, k - at))
+                parts.append(ids)
+                sizes.append(np.diff(ends, prepend=0))
+            if k < len(texts):
+                ids = np.concatenate([self._whole(texts[k].as_py()), self.end])
+                parts.append(ids)
+                sizes.append([len(ids)])
+            at = k + 1
+        return np.concatenate(parts), np.cumsum(np.concatenate(sizes).astype(np.int64))
 
 
 def token_table(docs: DataFrame, path: str, end_id: int | None = 0, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -135,21 +205,21 @@ def token_table(docs: DataFrame, path: str, end_id: int | None = 0, id_col: str
 
     ``end_id`` is appended to each document. A null text is empty.
     """
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+
+    ranked = docs.sparkSession.sparkContext.broadcast(ranks(path))  # of the vocabulary's size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
-        kind = id_type(enc.tokenizer)
+        encoder = ByteEncoder(path, end_id, ranked=ranked.value)  # its memory goes with the task
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(at, TEXTS)
-                ids = [np.frombuffer(x + end, "<u4").astype(kind) for x in enc.encode_batch(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["id", "n", "ids"]
-                )
+            at = 0
+            for texts in fl.groups(batch.column(1)):
+                ids, ends = encoder.encode(texts)
+                n = pa.array(np.diff(ends, prepend=0), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), n, fl.binary(ids, ends)], names=["id", "n", "ids"])
+                at += len(texts)
 
     id_name = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text).mapInArrow(run, f"id {id_name}, n bigint, ids binary")
+    return docs.select(id_col, F.col(text).cast("string").alias("text")).mapInArrow(run, f"id {id_name}, n bigint, ids binary")
 
 
 def id_type(tokenizer: Tokenizer) -> str:

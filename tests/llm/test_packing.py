@@ -3,10 +3,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lipika.llm import packing, tokens
+from lipika.llm import flat, packing, tokens
 from lipika.llm.queries import op8_packing
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -24,10 +26,22 @@ def test_encoder_equals_the_library():
     rng = random.Random(3)
     bits = ["the", "Of", "ménü", " ", "  ", "\n", "\n\n", "\t", "\r\n", "'s", "'re", "don't", "1", "23,", "x1.", "...", "?!", "—", "\xa0", "日本", "🙂", "\0", "\x1c", "²", "a.b", " ", " ", "<|endoftext|>", "é.", "İ"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(12))) for _ in range(3000)] + [None, "", " ", "\n", "a ", " a", "a\n", "\na"]
+    texts += ["long" * 40_000 + " end", "'t 't't x't9'll.'s"]
     for remember in (400_000, 5):
-        enc = tokens.ByteEncoder(PATH, remember)
-        got = [np.frombuffer(b, "<u4").tolist() for part in (texts[:1500], texts[1500:]) for b in enc.encode_batch(part)]
-        assert got == library(texts)
+        enc = tokens.ByteEncoder(PATH, 0, remember)
+        got = []
+        for part in (texts[:1500], texts[1500:]):
+            for some in flat.groups(pa.array(part, pa.string()), 10_000):
+                ids, ends = enc.encode(some)
+                got += [x.tolist() for x in np.split(ids, ends[:-1])]
+        assert got == [[*x, 0] for x in library(texts)]
+
+
+def test_one_id_for_many_rows_is_dealt_over_salts(spark):
+    df = spark.range(400).select(F.lit(7).alias("doc_id"), F.lit("a b c").alias("text"), F.lit(1).alias("n"), F.lit(2).alias("row"))
+    rows = packing.pack(df, PATH, 16, rows_per_salt=10).collect()
+    assert sum(r.length for r in rows) == 1600
+    assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
 
 
 @pytest.mark.parametrize("seed", range(4))
