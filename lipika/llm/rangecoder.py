@@ -1,12 +1,13 @@
 """A binary file of token ids, coded by an adaptive range coder with context mixing.
 
 Ids are cut into blocks of ``BLOCK``, each coded from a fresh model, so any block can be read
-alone; its bytes carry a CRC-32. Three orders predict each id: order 2 and order 1 each
-name the id that last followed the same two ids, or one id, in the block; order 0 is the block's
-histogram of the ids that neither named. How far to trust order 2 is mixed in the logistic
-domain from adaptive probabilities of the two predictors' states, with weights that adapt;
-order 1 has an adaptive probability for the case that order 2 fails. All arithmetic is in
-integers, so that every machine decodes alike.
+alone; its bytes carry a CRC-32. Three orders predict each id, all adaptively: orders 2 and 1
+name the id that last followed the same two ids, or one id, in the block, and order 0 names
+the id that has lately been most frequent. How sure each order is has an adaptive logit for
+its state; the logits are mixed by adding them, and all of them move down the gradient of
+the code length after each id. The ids that no order names are coded by the block's
+histogram of them (order -1), which is sent with the block. All arithmetic is in integers, so
+that every machine decodes alike.
 
 Blocks do not depend on each other, so many are coded in step, one numpy lane each: the
 time for a step is shared by thousands of blocks.
@@ -15,7 +16,8 @@ File: ``MAGIC``, then blocks, then an index (JSON: documents and blocks, deflate
 length and CRC. Documents may run over blocks. Memory is bounded by ``LANES`` blocks.
 
 Defined results: a null text is empty (one end id). Documents are in ascending order of
-ids, null ids first, ties by tokens; repeated rows stay. An empty table gives no file.
+ids, null ids first, ties by tokens; repeated rows stay. An empty table gives no file. A
+document of any length is one row; ids of documents are integers or strings.
 """
 
 from __future__ import annotations
@@ -39,72 +41,88 @@ from lipika.session import scratch, written
 MAGIC = b"LPKRC1\n"
 BLOCK = 4096
 LANES = 2048
-SLOTS_1, SLOTS_2 = 1 << 11, 1 << 12
+#: Ids in a batch of rows, but for one document.
+ROWS_IDS = 1 << 20
+SLOTS_1, SLOTS_2 = 1 << 10, 1 << 11
+#: Bits of a step of the range coder.
+UNITS = 28
 _HALF = np.uint64(1 << 32)
 _LOW = np.uint64((1 << 32) - 1)
 _32 = np.uint64(32)
-_16 = np.uint64(16)
+_UNITS = np.uint64(UNITS)
 _ONE = np.uint64(1)
+#: Logits have 4096 to a unit; the table has 256 to a unit, from -8 to 8.
+_CENTRE = 2048
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Integer logistic tables over 12-bit probabilities: squash of -2047..2047, and its inverse."""
-    squash = np.array([min(4095, max(1, round(4096 / (1 + 2 ** (-x / 177.445678))))) for x in range(-2047, 2048)], np.int32)
-    stretch = np.searchsorted(squash, np.arange(4096)).clip(0, 4094) - 2047
-    return squash, stretch.astype(np.int32)
+def _shares() -> np.ndarray:
+    """Probabilities in 65536ths of logits, away from 0 and 1."""
+    x = np.arange(-_CENTRE, _CENTRE) / 256
+    return np.clip(np.round(65536 / (1 + 2.0 ** (-x / np.log(2)))), 32, 65536 - 2048).astype(np.int32)
 
 
-_SQUASH, _STRETCH = _tables()
+_SHARE = _shares()
 
 
 class _Predictor:
-    """The model of all lanes: what orders 2 and 1 predict, and how much to trust them."""
+    """The model of all lanes: what orders 2, 1 and 0 name, and how sure they are."""
 
     def __init__(self, lanes: int):
-        row = np.arange(lanes, dtype=np.int32)
+        row = np.arange(lanes, dtype=np.int64)  # places are 64-bit, as numpy wants them; all else is 32-bit
         self.row_2, self.row_1, self.row_8, self.row_16 = row * SLOTS_2, row * SLOTS_1, row * 8, row * 16
-        # a slot: 0 for none, else (id + 1) * 4 + successes in a row (0 to 3)
+        # a slot: 0 for none, else (id + 1) * 8 + 1 + successes in a row (to 3); ids are kept as id + 1
         self.two = np.zeros(lanes * SLOTS_2, np.int32)
         self.one = np.zeros(lanes * SLOTS_1, np.int32)
-        self.trust_2 = np.full(lanes * 8, 1 << 15, np.int32)  # by the state of order 2
-        self.trust_12 = np.full(lanes * 16, 1 << 15, np.int32)  # by the state of order 1 and whether both agree
-        self.trust_1 = np.full(lanes * 16, 1 << 15, np.int32)  # order 1 after order 2 has failed
-        self.weight_2, self.weight_12 = np.full(lanes, 1 << 15, np.int32), np.full(lanes, 1 << 15, np.int32)
+        start = np.array([-8, -2, 0, 1, 2, 0, 0, 0], np.int32) << 12
+        self.logit_2 = np.tile(start, lanes)  # that order 2 is right: by its own state,
+        self.logit_21 = np.zeros(lanes * 16, np.int32)  # the state of order 1 and whether both agree,
+        self.logit_20 = np.zeros(lanes * 16, np.int32)  # and the state of order 0
+        self.logit_1 = np.tile(np.concatenate([start, start - (4 << 12)]), lanes)  # order 1, if order 2 fails
+        self.logit_0 = np.full(lanes * 16, -3 << 12, np.int32)  # order 0, if both fail
         self.hash_1 = np.zeros(lanes, np.int32)  # of the id before
         self.hash_2 = np.zeros(lanes, np.int32)  # of the one before that
+        self.named_0, self.strength = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
 
     def predict(self) -> None:
+        """Sets ``share_2``, ``share_1``, ``share_0``: parts of 65536 for each order being right before the next; the rest: none is."""
         self.at_2 = self.row_2 + ((self.hash_1 ^ self.hash_2 * 5) & (SLOTS_2 - 1))
         self.at_1 = self.row_1 + (self.hash_1 & (SLOTS_1 - 1))
-        slot_2, slot_1 = self.two[self.at_2], self.one[self.at_1]
-        self.named_2, self.named_1 = (slot_2 >> 2) - 1, (slot_1 >> 2) - 1
-        self.sure_2, self.sure_1 = slot_2 & 3, slot_1 & 3
-        self.state_2 = self.row_8 + self.sure_2 + (slot_2 == 0) * 4
-        self.state_1 = self.row_16 + self.sure_1 + (slot_1 == 0) * 4 + (self.named_2 == self.named_1) * 8
-        self.old_2, self.old_12, self.old_1 = self.trust_2[self.state_2], self.trust_12[self.state_1], self.trust_1[self.state_1]
-        self.in_2, self.in_12 = _STRETCH[self.old_2 >> 4], _STRETCH[self.old_12 >> 4]
-        mixed = (self.in_2 * (self.weight_2 >> 4) + self.in_12 * (self.weight_12 >> 4)) >> 12
-        self.hit_2 = _SQUASH[np.minimum(np.maximum(mixed, -2047), 2047) + 2047]
-        # shares of 65536 for: order 2 right, order 1 right (the rest: neither)
-        self.share_2 = self.hit_2 << 4
-        self.share_1 = ((4096 - self.hit_2) * (self.old_1 >> 4) >> 8) + 1
-        self.share_1 = np.minimum(self.share_1, 65535 - self.share_2)
-
-    def learn(self, ids: np.ndarray, right_2: np.ndarray, right_1: np.ndarray) -> None:
-        """``right_2``: order 2 named the id; ``right_1``: order 1 did (counted where order 2 failed)."""
-        hit = right_2.astype(np.int32) << 16
-        error = (hit >> 4) - self.hit_2
-        self.weight_2 += (self.in_2 * error) >> 8
-        self.weight_12 += (self.in_12 * error) >> 8
-        self.trust_2[self.state_2] = self.old_2 + ((hit - self.old_2) >> 4)
-        self.trust_12[self.state_1] = self.old_12 + ((hit - self.old_12) >> 4)
-        step = ((right_1.astype(np.int32) << 16) - self.old_1) >> 4
-        self.trust_1[self.state_1] = self.old_1 + step * ~right_2
-        fresh = (ids + 1) << 2
-        self.two[self.at_2] = fresh + right_2 * np.minimum(self.sure_2 + 1, 3)
-        self.one[self.at_1] = fresh + right_1 * np.minimum(self.sure_1 + 1, 3)
+        slot_2, slot_1 = self.two.take(self.at_2), self.one.take(self.at_1)
+        self.named_2, self.named_1 = slot_2 >> 3, slot_1 >> 3
+        self.sure_2, self.sure_1 = slot_2 & 7, slot_1 & 7
+        same = self.named_2 == self.named_1
+        self.state_2 = self.row_8 + self.sure_2
+        self.state_1 = self.row_16 + self.sure_1 + (same.astype(np.int32) << 3)
+        taken = (self.named_0 == self.named_2) | (self.named_0 == self.named_1)
+        self.state_0 = self.row_16 + (self.strength >> 3) + (taken.astype(np.int32) << 3)
+        self.old_2, self.old_21, self.old_20 = self.logit_2.take(self.state_2), self.logit_21.take(self.state_1), self.logit_20.take(self.state_0)
+        self.old_1, self.old_0 = self.logit_1.take(self.state_1), self.logit_0.take(self.state_0)
+        self.share_2 = _SHARE.take((self.old_2 + self.old_21 + self.old_20 >> 4) + _CENTRE, mode="clip")
+        self.part_1 = _SHARE.take((self.old_1 >> 4) + _CENTRE, mode="clip")
+        self.part_0 = _SHARE.take((self.old_0 >> 4) + _CENTRE, mode="clip")
+        rest = 65536 - self.share_2
+        self.share_1 = (rest * (self.part_1 >> 1) >> 15) + 1
+        self.share_0 = ((rest - self.share_1) * ((self.part_0 >> 4) * 7) >> 15) + 1
+
+    def learn(self, ids: np.ndarray, right_2: np.ndarray, right_1: np.ndarray, right_0: np.ndarray) -> None:
+        """``ids`` (plus 1) came; ``right_k``: order k named it."""
+        step = ((right_2.astype(np.int32) << 16) - self.share_2) >> 7
+        self.logit_2[self.state_2] = self.old_2 + step
+        self.logit_21[self.state_1] = self.old_21 + step
+        self.logit_20[self.state_0] = self.old_20 + step
+        failed = ~right_2
+        self.logit_1[self.state_1] = self.old_1 + (((right_1.astype(np.int32) << 16) - self.part_1) >> 6) * failed
+        failed &= ~right_1
+        self.logit_0[self.state_0] = self.old_0 + (((right_0.astype(np.int32) << 16) - self.part_0) >> 7) * failed
+        fresh = (ids << 3) + 1
+        self.two[self.at_2] = fresh + right_2 * np.minimum(self.sure_2, 3)
+        self.one[self.at_1] = fresh + right_1 * np.minimum(self.sure_1, 3)
         self.hash_2 = self.hash_1
         self.hash_1 = ids ^ (ids >> 7) * 37
+        strength = np.minimum(self.strength + (right_0.astype(np.int32) << 4) - 1, 63)
+        lost = strength < 0
+        self.named_0 = np.where(lost, ids, self.named_0)
+        self.strength = np.where(lost, np.int32(7), strength)
 
 
 class _Writer:
@@ -119,12 +137,11 @@ class _Writer:
         self.out = np.zeros((lanes, room), "<u4")
         self.size = np.zeros(lanes, np.int64)
 
-    def narrow(self, lanes: slice | np.ndarray, start: np.ndarray, share: np.ndarray, total: np.ndarray | None) -> None:
-        """Code one choice; ``total`` None is 65536."""
-        rng = self.range[lanes]
-        step = rng >> _16 if total is None else rng // total
-        self.low[lanes] += step * start
-        self.range[lanes] = step * share
+    def narrow(self, n: int, start: np.ndarray, share: np.ndarray) -> None:
+        """Code one choice of each of the first ``n`` lanes, in parts of ``2 ** UNITS``."""
+        step = self.range[:n] >> _UNITS
+        self.low[:n] += step * start
+        self.range[:n] = step * share
 
     def settle(self, n: int) -> None:
         at = np.flatnonzero(self.range[:n] < _HALF)
@@ -156,14 +173,13 @@ class _Reader:
         self.code = self.data[:, 0] << _32 | self.data[:, 1]
         self.size = np.full(len(streams), 2, np.int64)
 
-    def place(self, lanes: slice | np.ndarray, total: np.ndarray | None) -> np.ndarray:
-        rng = self.range[lanes]
-        self.step = rng >> _16 if total is None else rng // total
-        return np.minimum((self.code[lanes] - self.low[lanes]) // self.step, (np.uint64(65536) if total is None else total) - _ONE)
+    def place(self, n: int) -> np.ndarray:
+        self.step = self.range[:n] >> _UNITS
+        return np.minimum((self.code[:n] - self.low[:n]) // self.step, np.uint64((1 << UNITS) - 1)).astype(np.int64)
 
-    def narrow(self, lanes: slice | np.ndarray, start: np.ndarray, share: np.ndarray) -> None:
-        self.low[lanes] += self.step * start
-        self.range[lanes] = self.step * share
+    def narrow(self, n: int, start: np.ndarray, share: np.ndarray) -> None:
+        self.low[:n] += self.step * start.astype(np.uint64)
+        self.range[:n] = self.step * share.astype(np.uint64)
 
     def settle(self, n: int) -> None:
         at = np.flatnonzero(self.range[:n] < _HALF)
@@ -177,13 +193,17 @@ class _Reader:
 
 
 def _varints(values: np.ndarray) -> bytes:
-    out = bytearray()
-    for v in values.tolist():
-        while v > 127:
-            out.append(v & 127 | 128)
-            v >>= 7
-        out.append(v)
-    return bytes(out)
+    """Seven bits a byte, the low ones first; all but a value's last byte have the top bit."""
+    values = np.asarray(values, np.int64)
+    sizes = np.ones(len(values), np.int64)
+    for k in (7, 14, 21, 28):
+        sizes += values >= 1 << k
+    ends = np.cumsum(sizes)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for k in range(int(sizes.max(initial=0))):
+        at = np.flatnonzero(sizes > k)
+        out[ends[at] - sizes[at] + k] = (values[at] >> 7 * k & 127) | (sizes[at] > k + 1) * 128
+    return out.tobytes()
 
 
 def _from_varints(data: bytes, n: int) -> np.ndarray:
@@ -197,7 +217,7 @@ def _from_varints(data: bytes, n: int) -> np.ndarray:
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Each block's bytes: lengths, the histogram of order 0 and the coded ids."""
+    """Each block's bytes: lengths, the histogram of what no order named, and the coded ids."""
     order = sorted(range(len(blocks)), key=lambda k: -len(blocks[k]))
     sizes = np.array([len(blocks[k]) for k in order], np.int64)
     lanes, steps = len(blocks), int(sizes[0]) if blocks else 0
@@ -210,29 +230,39 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     model = _Predictor(lanes)
     for t in range(steps):
         model.predict()
-        right_2, right_1 = model.named_2 == ids[t], model.named_1 == ids[t]
-        both = model.share_2 + model.share_1
-        starts[t] = np.where(right_2, 0, np.where(right_1, model.share_2, both))
-        shares[t] = np.where(right_2, model.share_2, np.where(right_1, model.share_1, 65536 - both))
-        missed[t] = ~(right_2 | right_1)
-        model.learn(ids[t], right_2, right_1)
-    # order 0: the histogram of the ids that neither order named
+        now = ids[t] + 1
+        right_2, right_1, right_0 = model.named_2 == now, model.named_1 == now, model.named_0 == now
+        two = model.share_2 + model.share_1
+        all_three = two + model.share_0
+        # orders 1 and 0 rarely are the first to be right
+        start, share = np.where(right_2, np.int32(0), all_three), np.where(right_2, model.share_2, 65536 - all_three)
+        at = np.flatnonzero((right_1 | right_0) & ~right_2)
+        one = right_1[at]
+        start[at] = np.where(one, model.share_2[at], two[at])
+        share[at] = np.where(one, model.share_1[at], model.share_0[at])
+        starts[t], shares[t] = start, share
+        missed[t] = ~(right_2 | right_1 | right_0)
+        model.learn(now, right_2, right_1, right_0)
+    # order -1: the histogram of the ids that no order named
     begins, counts = np.zeros((steps, lanes), np.int16), np.zeros((steps, lanes), np.int16)
-    totals, heads = np.ones(lanes, np.uint64), []
+    totals, heads = np.ones(lanes, np.int64), []
     for k in range(lanes):
         at = np.flatnonzero(missed[: sizes[k], k])
-        kinds, back, n = np.unique(ids[at, k], return_inverse=True, return_counts=True)
+        some = ids[at, k]
+        kinds, back, n = _histogram(some)
         totals[k] = max(1, len(at))
         counts[at, k] = n[back]
         begins[at, k] = (np.cumsum(n) - n)[back]
-        packed = zlib.compress(_varints(np.diff(kinds, prepend=0)) + _varints(n - 1), 6)
+        packed = zlib.compress(_varints(np.diff(kinds, prepend=0)) + _varints(n - 1), 1)
         heads.append((len(kinds), packed))
     writer = _Writer(lanes, 5 * steps // 4 + 16)
     for t in range(steps):
         n = int(np.searchsorted(-sizes, -t, "left"))
-        writer.narrow(slice(0, n), starts[t, :n].astype(np.uint64), shares[t, :n].astype(np.uint64), None)
-        at = np.flatnonzero(missed[t, :n])
-        writer.narrow(at, begins[t, at].astype(np.uint64), counts[t, at].astype(np.uint64), totals[at])
+        share = shares[t, :n].astype(np.int64) << UNITS - 16
+        unit = share // totals[:n]
+        start = (starts[t, :n].astype(np.int64) << UNITS - 16) + begins[t, :n] * unit
+        share = np.where(missed[t, :n], counts[t, :n] * unit, share)
+        writer.narrow(n, start.astype(np.uint64), share.astype(np.uint64))
         writer.settle(n)
     out: list[bytes] = [b""] * lanes
     for k, (o, body) in enumerate(zip(order, writer.finish())):
@@ -242,6 +272,18 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     return out
 
 
+def _histogram(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ids in order, the number of each item's, and how often each occurs."""
+    top = int(ids.max(initial=0))
+    if top >= 1 << 16:
+        return np.unique(ids, return_inverse=True, return_counts=True)
+    n = np.bincount(ids)
+    kinds = np.flatnonzero(n)
+    place = np.empty(top + 1, np.int32)
+    place[kinds] = np.arange(len(kinds))
+    return kinds, place[ids], n[kinds]
+
+
 def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
     """The ids of each block; a damaged one raises ValueError."""
     parsed = []
@@ -254,36 +296,49 @@ def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
     order = sorted(range(len(blocks)), key=lambda k: -parsed[k][0])
     sizes = np.array([parsed[k][0] for k in order], np.int64)
     lanes, steps = len(blocks), int(sizes[0]) if blocks else 0
-    # for each lane and place in its histogram, the kind that holds it
+    # for each lane and place in its histogram, the number of the kind that holds it
     totals = np.array([max(1, int(parsed[o][2].sum())) for o in order], np.int64)
     base = np.cumsum(totals) - totals
-    kinds_of, first_of, count_of = np.zeros(int(totals.sum()), np.int32), *(np.zeros(int(totals.sum()), np.uint64) for _ in range(2))
+    kind_of = np.zeros(int(totals.sum()), np.int32)
+    ids_of, first_of, count_of = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
+    at = 1
     for k, o in enumerate(order):
         _, kinds, n, _ = parsed[o]
         if len(kinds):
-            span = slice(base[k], base[k] + totals[k])
-            kinds_of[span], first_of[span], count_of[span] = np.repeat(kinds, n), np.repeat(np.cumsum(n) - n, n), np.repeat(n, n)
-    totals = totals.astype(np.uint64)
+            kind_of[base[k] : base[k] + totals[k]] = np.repeat(np.arange(at, at + len(kinds), dtype=np.int32), n)
+            ids_of.append(kinds + 1)
+            first_of.append(np.cumsum(n) - n)
+            count_of.append(n)
+            at += len(kinds)
+    ids_of, first_of, count_of = np.concatenate(ids_of), np.concatenate(first_of), np.concatenate(count_of)
     reader, model = _Reader([parsed[o][3] for o in order]), _Predictor(lanes)
     ids = np.zeros((steps, lanes), np.int32)
+    now = np.ones(lanes, np.int32)
     for t in range(steps):
         n = int(np.searchsorted(-sizes, -t, "left"))
         model.predict()
-        at = reader.place(slice(0, n), None).astype(np.int32)
+        place = reader.place(n)
+        at = place >> UNITS - 16
         two = model.share_2[:n]
-        both = two + model.share_1[:n]
-        is_2, miss = at < two, at >= both
-        start = np.where(is_2, 0, np.where(miss, both, two))
-        share = np.where(is_2, two, np.where(miss, 65536 - both, model.share_1[:n]))
-        reader.narrow(slice(0, n), start.astype(np.uint64), share.astype(np.uint64))
-        now = ids[t]
-        now[:n] = np.where(is_2, model.named_2[:n], model.named_1[:n])
-        lost = np.flatnonzero(miss)
-        place = base[lost] + reader.place(lost, totals[lost]).astype(np.int64)
-        reader.narrow(lost, first_of[place], count_of[place])
-        now[lost] = kinds_of[place]
+        one = two + model.share_1[:n]
+        edge = one + model.share_0[:n]
+        is_2, named = at < two, at < edge
+        # first as if no order were right
+        unit = ((65536 - edge) << UNITS - 16) // totals[:n]
+        inside = np.maximum(place - (edge << UNITS - 16), 0) // unit
+        kind = kind_of.take(base[:n] + np.minimum(inside, totals[:n] - 1))
+        start, share, got = (edge << UNITS - 16) + first_of.take(kind) * unit, count_of.take(kind) * unit, ids_of.take(kind)
+        if named.any():
+            k = np.flatnonzero(named)
+            by_2, by_1 = is_2[k], at[k] < one[k]
+            start[k] = np.where(by_2, 0, np.where(by_1, two[k], one[k])) << UNITS - 16
+            share[k] = np.where(by_2, two[k], np.where(by_1, one[k] - two[k], edge[k] - one[k])) << UNITS - 16
+            got[k] = np.where(by_2, model.named_2[k], np.where(by_1, model.named_1[k], model.named_0[k]))
+        reader.narrow(n, start, share)
         reader.settle(n)
-        model.learn(now, model.named_2 == now, model.named_1 == now)
+        now[:n] = got
+        ids[t] = now - 1
+        model.learn(now, model.named_2 == now, model.named_1 == now, model.named_0 == now)
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * lanes
     for k, o in enumerate(order):
         out[o] = ids[: sizes[k], k].astype(np.uint32)
@@ -299,10 +354,10 @@ class FileWriter:
         self.at = len(MAGIC)
         self.held: list[np.ndarray] = []
         self.n_held = 0
-        self.documents: list[tuple[int | None, int]] = []
+        self.documents: list[tuple[int | str | None, int]] = []
         self.blocks: list[tuple[int, int]] = []  # bytes, ids
 
-    def add(self, key: int | None, ids: np.ndarray) -> None:
+    def add(self, key: int | str | None, ids: np.ndarray) -> None:
         self.documents.append((key, len(ids)))
         self.held.append(ids)
         self.n_held += len(ids)
@@ -328,7 +383,7 @@ class FileWriter:
         return sum(n for _, n in self.documents)
 
 
-def read_file(file) -> Iterator[tuple[int | None, np.ndarray]]:
+def read_file(file) -> Iterator[tuple[int | str | None, np.ndarray]]:
     """(id, ids) of each document, in order."""
     size, tail = file.size(), 8 + len(MAGIC)
     end = file.read_at(tail, size - tail)
@@ -388,29 +443,31 @@ def write_tokens(docs: DataFrame, path: str, end_id: int | None = 0, id_col: str
 
 
 def read_tokens(manifest: DataFrame, id_kind: str = "bigint") -> DataFrame:
-    """``id``, ``start`` (ids of all documents before it), ``n_tokens``, ``ids`` (binary, unsigned 32-bit) from the files."""
+    """``id``, ``start`` (ids of all documents before it), ``n_tokens``, ``ids`` (binary, unsigned 32-bit) from the files, a file to a task."""
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
-    placed = manifest.select("file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
-    spread = placed.repartition(max(1, manifest.count()), "file")
+    placed = manifest.select("part", "file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
+    spread = placed.repartitionByRange(max(1, manifest.count()), "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for name, at in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 system, local = opened(name)
                 with system.open_input_file(local) as file:
                     rows: list[tuple] = []
+                    size = 0
                     for key, ids in read_file(file):
-                        rows.append((key, at, len(ids), ids.astype("<u4").tobytes()))
+                        rows.append((None if key is None else str(key), at, len(ids), ids.astype("<u4").tobytes()))
                         at += len(ids)
-                        if len(rows) == 500:
+                        size += len(ids)
+                        if len(rows) == 2000 or size > ROWS_IDS:
                             yield _batch(rows)
-                            rows = []
+                            rows, size = [], 0
                     if rows:
                         yield _batch(rows)
 
-    return spread.mapInArrow(run, "id bigint, start bigint, n_tokens bigint, ids binary").withColumn("id", F.col("id").cast(id_kind))
+    return spread.mapInArrow(run, "id string, start bigint, n_tokens bigint, ids binary").withColumn("id", F.col("id").cast(id_kind))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["id", "start", "n_tokens", "ids"])
