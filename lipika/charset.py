@@ -76,3 +76,9 @@ GRAPHEME = rf"[{_JOINING}](?:[{_INSIDE}]*+{VIRAMA}[{_INSIDE}{VIRAMA}]*+[{_JOININ
 ONSET = f"^[{C}][{NUKTA}{ZWJ}{ZWNJ}]*(?:{VIRAMA}[{C}][{NUKTA}{ZWJ}{ZWNJ}]*)*"
 ONSET_UNIT = f"[{C}][{NUKTA}{ZWJ}{ZWNJ}]*"
 SPACE_CLASS = "".join(rf"\x{{{ord(c):04X}}}" for c in WHITESPACE)
+#: Marks that Unicode joins to the letter after them.
+PREPENDED = r"[\x{0600}-\x{0605}\x{06DD}\x{070F}\x{0890}\x{0891}\x{08E2}\x{0D4E}\x{110BD}\x{110CD}\x{111C2}\x{111C3}\x{1193F}\x{11941}\x{11A3A}\x{11A84}-\x{11A89}\x{11D46}\x{11F02}]"
+_DIGITS, _LATIN_LETTERS = r"0-9\x{09E6}-\x{09EF}", r"A-Za-z\x{00C0}-\x{024F}"
+_BENGALI = r"\x{0980}-\x{09E5}\x{09F0}-\x{09FF}\x{200C}\x{200D}"
+#: A run of one script: Bengali, Latin, digits, or anything else that is not white space.
+SCRIPT_RUN = f"[{_BENGALI}]+|[{_LATIN_LETTERS}]+|[{_DIGITS}]+|[^{_BENGALI}{_LATIN_LETTERS}{_DIGITS}{SPACE_CLASS}]+"

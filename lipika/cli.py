@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lipika.errors import LipikaError
 from lipika.functions import shaping
 from lipika.functions import text as T
-from lipika.operators import scoring, subword
+from lipika.operators import corpus, scoring, subword
 from lipika.session import session
 from lipika.sources import artefacts
 from lipika.sources import text as sources
@@ -22,10 +22,12 @@ IN_SAMPLE = 2000
 def _corpus(spark, args):
     if args.text:
         return sources.inline(spark, [args.text])
+    if getattr(args, "corpus_config", None):
+        return sources.corpus(spark, sources.config(args.corpus_config))
     if not args.input:
         return sources.sample(spark)
-    lines = sources.load_paths(spark, args.input)
-    return lines.select(F.monotonically_increasing_id().alias("doc_id"), F.col("line").alias("text"))
+    lines = corpus.offset_limit(sources.load_paths(spark, args.input), 0, args.limit, list(sources.ORDER)) if args.limit else sources.load_paths(spark, args.input)
+    return corpus.placed(lines, list(sources.ORDER), "doc_id").select("doc_id", F.col("line").alias("text"))
 
 
 def _show(rows) -> None:
@@ -84,9 +86,11 @@ def parser() -> argparse.ArgumentParser:
         p.set_defaults(run=f)
         p.add_argument("--text")
         p.add_argument("--input", nargs="*", default=[])
+        p.add_argument("--limit", type=int, help="lines of the input")
         if f in (train, evaluate, encode):
             p.add_argument("--model", required=True)
         if f is train:
+            p.add_argument("--corpus-config", help="JSON: corpus_sources with weights, paths of their files, total_lines")
             p.add_argument("--scheme", choices=("grapheme", "akshara", "hybrid"), default="grapheme")
             p.add_argument("--algo", choices=("bpe", "unigram"), default="bpe")
             p.add_argument("--vocab-size", type=int, default=64000)

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from lipika import charset as ch
 from lipika.columns import let, matches
 from lipika.errors import require
 
-CHUNK_TYPE = "array<struct<text:string,kind:string,start:int,end:int>>"
 FEATURES = ("onset", "nuktas", "vowel", "modifiers", "has_zwj", "has_zwnj")
 
 
@@ -95,25 +96,45 @@ def kind(chunk: Column) -> Column:
     return F.when(is_akshara(chunk), F.lit("akshara")).otherwise(F.lit("other"))
 
 
+@F.arrow_udf(ArrayType(IntegerType()))
+def _running(sizes: pa.Array) -> pa.Array:
+    edges = np.asarray(sizes.offsets, np.int64)
+    values = sizes.values.to_numpy(zero_copy_only=False)[edges[0] : edges[-1]]
+    edges -= edges[0]
+    total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+    before = total[:-1] - np.repeat(total[edges[:-1]], np.diff(edges))
+    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(before, pa.int32()), mask=sizes.is_null())
+
+
+def offsets(parts: Column) -> Column:
+    """Where each string of an array starts, in code points: sums over the array, which no native function gives in linear time."""
+    return _running(F.transform(parts, F.length))
+
+
 def aksharas(text: Column) -> Column:
-    """Chunks with kind and code point offsets (array of struct), for lines; long texts: :func:`chunk_rows`."""
-    empty = F.from_json(F.lit('{"at":0,"out":[]}'), f"struct<at:int,out:{CHUNK_TYPE}>")
+    """Chunks with kind and code point offsets (array of struct)."""
+    parts = chunks(text)
+    item = lambda c, at: F.struct(c.alias("text"), kind(c).alias("kind"), at.alias("start"), (at + F.length(c)).alias("end"))
+    return F.zip_with(parts, offsets(parts), item)
 
-    def step(acc: Column, c: Column) -> Column:
-        end = acc["at"] + F.length(c)
-        item = F.struct(c.alias("text"), kind(c).alias("kind"), acc["at"].alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(item)).alias("out"))
 
-    return F.aggregate(chunks(text), empty, step, lambda acc: acc["out"])
+def count_aksharas(text: Column) -> Column:
+    """How many syllables. They can be counted alone, but where a letter may join a mark before it (prepended marks)."""
+    return F.when(text.rlike(ch.PREPENDED), F.size(F.filter(chunks(text), is_akshara))).otherwise(F.regexp_count(text, F.lit(ch.akshara())))
 
 
 def chunk_rows(df: DataFrame, key: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """A row for each chunk: ``key``, kept columns, ``pos``, ``chunk``, ``kind``, ``start``, ``end``; linear in the text."""
-    rows = df.select(key, *keep, F.posexplode(chunks(F.col(text))).alias("pos", "chunk"))
-    size = F.length("chunk")
-    before = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(size).over(before), F.lit(0))
-    return rows.select("*", kind(F.col("chunk")).alias("kind"), start.alias("start"), (start + size).alias("end"))
+    """A row for each chunk: ``key``, kept columns, ``pos``, ``chunk``, ``kind``, ``start``, ``end``; each text by itself, without a shuffle."""
+    cut = df.select(key, *keep, chunks(F.col(text)).alias("chunk"))
+    both = F.arrays_zip(F.col("chunk"), offsets(F.col("chunk")).alias("start"))
+    rows = cut.select(key, *keep, F.posexplode(both).alias("pos", "c"))
+    rows = rows.select(key, *keep, "pos", F.col("c.chunk").alias("chunk"), F.col("c.start").alias("start"))
+    return rows.select(key, *keep, "pos", "chunk", kind(F.col("chunk")).alias("kind"), "start", (F.col("start") + F.length("chunk")).alias("end"))
+
+
+def script_pieces(text: Column) -> Column:
+    """The text cut at white space and where the script changes: runs of Bengali, Latin letters, digits, or anything else."""
+    return matches(text, ch.SCRIPT_RUN)
 
 
 # predicates of one cluster

@@ -1,8 +1,9 @@
 """Corpora: slices by order, held-out lines, weighted mixing, configured sources, experiment grids.
 
-Places in an order are counted without one task that sorts everything: rows are dealt into
-ranges of the order's first column, each range is ranked alone, and the ranges' counts
-(one row each) give the offsets.
+Places in an order are counted without one task that sorts everything: cut points are taken
+once from a sample of the order's columns, every row's range follows from them by
+comparison, each range is ranked alone, and the ranges' counts (one row each) give the offsets.
+As ranges are a function of the row, they are the same however often the rows are read.
 """
 
 from __future__ import annotations
@@ -14,56 +15,120 @@ from pyspark.sql import functions as F
 
 from lipika.columns import free_name
 from lipika.errors import ConfigError, EmptyCorpusError, require
-from lipika.functions.text import split_lines
+from lipika.functions.text import is_blank, split_lines
 
 #: What the configured sources stand for here: a filter on the table's ``source`` column.
 TOTAL_LINES = 1_500_000
 
 
-def placed(df: DataFrame, order: list[str], name: str = "place", within: list[str] | None = None, ranges: int = 256) -> DataFrame:
-    """The frame with ``name``: the row's place from 0 in the order, in all or within groups."""
+#: Rows in a range, and the most ranges.
+RANGE_ROWS, RANGES = 100_000, 512
+
+
+def cut_points(df: DataFrame, order: list[str], rows: int = RANGE_ROWS, most: int = RANGES) -> list[tuple]:
+    """Keys that part the order into ranges of about ``rows`` rows, at most ``most``; from 64 sampled keys a range."""
+    keys = df.select(*order)
+    n = keys.count()
+    ranges = min(most, max(1, n // rows))
+    if ranges == 1:
+        return []
+    found = [tuple(r) for r in keys.sample(min(1.0, 64 * ranges / n), seed=7).orderBy(*order).collect()]
+    chosen = [found[len(found) * k // ranges] for k in range(1, ranges)] if found else []
+    return [c for k, c in enumerate(chosen) if not k or c != chosen[k - 1]]
+
+
+def range_of(df: DataFrame, order: list[str], cuts: list[tuple]) -> Column:
+    """How many of the cut points a row's key is not below: a tree of comparisons, as deep as the logarithm of their number."""
+    key = F.struct(*order)
+    kinds = [df.schema[c].dataType for c in order]
+
+    def tree(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        cut = F.struct(*(F.lit(v).cast(k).alias(c) for v, k, c in zip(cuts[middle], kinds, order)))
+        return F.when(key < cut, tree(low, middle)).otherwise(tree(middle + 1, high))
+
+    return tree(0, len(cuts))
+
+
+def placed(df: DataFrame, order: list[str], name: str = "place", within: list[str] | None = None, rows: int = RANGE_ROWS) -> DataFrame:
+    """The frame with ``name``: the row's place from 0 in the order (nulls first), in all or within groups. Ties have places of their own, in any order."""
     within = within or []
     part = free_name(df, "range")
-    dealt = df.repartitionByRange(ranges, *order).withColumn(part, F.spark_partition_id())
+    dealt = df.withColumn(part, range_of(df, order, cut_points(df, order, rows)))
     sizes = dealt.groupBy(*within, part).agg(F.count("*").alias("n"))
     before = Window.partitionBy(*within).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select(*within, part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    keys = {c: free_name(df, f"{c}_of_base", [part]) for c in [*within, part]}
+    base = free_name(df, "base", [part, *keys.values()])
+    bases = sizes.select(*(F.col(c).alias(k) for c, k in keys.items()), F.coalesce(F.sum("n").over(before), F.lit(0)).alias(base))
     rank = F.row_number().over(Window.partitionBy(*within, part).orderBy(*order)) - 1
-    ranked = dealt.withColumn(name, rank)
-    joined = ranked.join(bases, [*within, part])
-    return joined.withColumn(name, F.col(name) + F.col("base")).drop(part, "base")
+    on = [F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()]
+    return dealt.withColumn(name, rank).join(bases, on).withColumn(name, F.col(name) + F.col(base)).drop(part, base, *keys.values())
+
 
+def offset_limit(df: DataFrame, offset: int, limit: int | None, order: list[str], within: list[str] | None = None, rows: int = RANGE_ROWS) -> DataFrame:
+    """Rows from ``offset`` on, at most ``limit``, in the order; in all or in each group.
 
-def offset_limit(df: DataFrame, offset: int, limit: int | None, order: list[str], within: list[str] | None = None) -> DataFrame:
-    """Rows from ``offset`` on, at most ``limit``, in the order; in all or in each group."""
+    Without groups only the ranges that hold a wanted place are ranked; the rest is not shuffled.
+    """
     require(offset >= 0, f"offset must be >= 0, got {offset}")
     require(limit is None or limit >= 1, f"limit must be >= 1, got {limit}")
     name = free_name(df, "place")
-    if within is None and limit is not None:
-        return df.orderBy(*order).offset(offset).limit(limit)  # a distributed top-k, not a full sort
-    keep = F.col(name) >= offset
-    if limit is not None:
-        keep = keep & (F.col(name) < offset + limit)
-    return placed(df, order, name, within).filter(keep).drop(name)
+    wanted = lambda at: (at >= offset) & (at < offset + limit) if limit is not None else at >= offset
+    if within:
+        return placed(df, order, name, within, rows).filter(wanted(F.col(name))).drop(name)
+    part = free_name(df, "range", [name])
+    dealt = df.withColumn(part, range_of(df, order, cut_points(df, order, rows)))
+    bases, at = {}, 0
+    for r in dealt.groupBy(part).count().orderBy(part).collect():  # at most RANGES rows
+        if at + r["count"] > offset and (limit is None or at < offset + limit):
+            bases[r[part]] = at
+        at += r["count"]
+    if not bases:
+        return df.filter(F.lit(False))
+    base = F.create_map(*(F.lit(x) for kv in bases.items() for x in kv))[F.col(part)]
+    rank = F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1
+    near = dealt.filter(F.col(part).isin(list(bases))).withColumn(name, rank + base)
+    return near.filter(wanted(F.col(name))).drop(name, part)
 
 
 def lines_of(docs: DataFrame, text: str = "text", sentences: bool = False) -> DataFrame:
     """A row for each line that is not blank, with ``line_no`` and ``line``; other columns but the text stay."""
     parts = split_lines(F.col(text)) if sentences else F.split(text, "\n")
     rows = docs.select(*(c for c in docs.columns if c != text), F.posexplode(parts).alias("line_no", "line"))
-    return rows.filter(F.trim("line") != "")
+    return rows.filter(~is_blank(F.col("line")))
 
 
 def held_out(docs: DataFrame, skip: int, limit: int, order: list[str], text: str = "text") -> DataFrame:
     """Lines of the documents after the first ``skip``; it ends after the document in which ``limit`` lines are reached."""
-    n = F.size(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""))
+    n = F.size(F.filter(F.split(text, "\n"), lambda x: ~is_blank(x)))
+    rest = offset_limit(docs, skip, None, order)
     # every document with a line gives one at least, so no more than limit of those can be wanted
-    after = docs.orderBy(*order).offset(skip).select(*order, text, n.alias("n_lines")).filter("n_lines > 0").orderBy(*order).limit(limit)
+    after = rest.select(*order, text, n.alias("n_lines")).filter("n_lines > 0").orderBy(*order).limit(limit)
     before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     wanted = after.withColumn("before", F.coalesce(F.sum("n_lines").over(before), F.lit(0))).filter(F.col("before") < limit)
     return lines_of(wanted.drop("before", "n_lines"), text)
 
 
+def register_slices(docs: DataFrame, budgets: dict[str, int], limit: int, order: list[str], register: str = "source") -> DataFrame:
+    """``part`` (train or held_out) of each register's documents: the first ``budgets[register]``, then the next ``limit``; no document is in both."""
+    require(bool(budgets), "no registers given")
+    require(limit >= 1, f"limit must be >= 1, got {limit}")
+    place = free_name(docs, "place")
+    table = F.create_map(*(F.lit(x) for kv in budgets.items() for x in kv))[F.col(register)]
+    rows = placed(docs.filter(F.col(register).isin(list(budgets))), order, place, within=[register])
+    part = F.when(F.col(place) < table, F.lit("train")).when(F.col(place) < table + limit, F.lit("held_out"))
+    return rows.withColumn("part", part).drop(place).filter(F.col("part").isNotNull())
+
+
+def versioned(docs: DataFrame, version: str, register: str = "source") -> DataFrame:
+    """A data set's description: documents, words' bytes and a checksum of each register under a version; the checksum does not depend on the rows' order."""
+    row = F.xxhash64(*docs.columns)
+    sums = docs.groupBy(register).agg(F.count("*").alias("n_docs"), F.bit_xor(row).alias("xor"), F.sum(F.pmod(row, F.lit(1 << 31))).alias("sum"))
+    return sums.select(F.lit(version).alias("version"), register, "n_docs", F.concat_ws("-", F.hex("xor"), F.hex("sum")).alias("checksum"))
+
+
 def targets(weights: dict[str, float], total: int) -> dict[str, int]:
     """Rows wanted of each source: its share, rounded half to even, one at least."""
     require(bool(weights), "no weights given")

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from lipika import charset as ch
 from lipika.functions import text as T
-from lipika.operators import corpus, dictionary, scoring, subword
+from lipika.operators import corpus, dictionary, metrics, scoring, subword
+from lipika.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,7 +33,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def bengali(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +43,9 @@ def bengali(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- SQL pieces ---
+_JOIN = ch.body(frozenset(map(chr, [*range(0x995, 0x9A9), *range(0x9AA, 0x9B1), 0x9B2, *range(0x9B6, 0x9BA), 0x9DC, 0x9DD, 0x9DF, 0x9F0, 0x9F1])))
+_IN = ch.body(frozenset(map(chr, [0x981, 0x9BC, 0x9BE, *range(0x9C1, 0x9C5), 0x9D7, 0x9E2, 0x9E3, 0x9FE, 0x200D])))
+_EXT = ch.body(frozenset(map(chr, [0x981, 0x982, 0x983, 0x9BC, *range(0x9BE, 0x9C5), 0x9C7, 0x9C8, *range(0x9CB, 0x9CE), 0x9D7, 0x9E2, 0x9E3, 0x9FE, 0x200C, 0x200D])))
 _WS = ch.body(ch.WHITESPACE)
 BN = f"bn AS (SELECT doc_id, lang, source, translate(lower(text), '{ch.LATIN}', '{ch.LATIN_AS_BENGALI}') AS t FROM documents)"
 _AK = ch.akshara(possessive=False)
@@ -147,10 +151,14 @@ def akshara_offsets(spark, sf):
     return rows.select("doc_id", "chunk", _long(F.col("start")).alias("start_at"), _long(F.col("end")).alias("end_at"))
 
 
-@query(f"WITH {CHUNKS} SELECT lang, CASE WHEN {_IS_AK} THEN 'akshara' ELSE 'other' END AS kind, COUNT(*) AS n, CAST(SUM(length(chunk)) AS BIGINT) AS n_codepoints FROM ck WHERE {_IS_AK} GROUP BY ALL")
+#: Chunks that are not syllables: one character and the marks after it.
+_OTHER_SQL = f"regexp_extract_all(t, '{_AK}|' || chr(13) || chr(10) || '|' || chr(10) || '|' || chr(13) || '|(?s:.)[{_EXT}]*')"
+
+
+@query(f"WITH {BN}, oc AS (SELECT lang, unnest({_OTHER_SQL}) AS chunk FROM bn) SELECT lang, CASE WHEN {_IS_AK} THEN 'akshara' ELSE 'other' END AS kind, COUNT(*) AS n, CAST(SUM(length(chunk)) AS BIGINT) AS n_codepoints FROM oc GROUP BY ALL")
 def akshara_kind_counts(spark, sf):
     rows = bengali(spark, sf).select("lang", F.explode(T.chunks(F.col("t"))).alias("chunk")).select("lang", "chunk", T.kind(F.col("chunk")).alias("kind"))
-    return rows.filter("kind = 'akshara'").groupBy("lang", "kind").agg(F.count("*").alias("n"), F.sum(F.length("chunk")).alias("n_codepoints"))
+    return rows.groupBy("lang", "kind").agg(F.count("*").alias("n"), F.sum(F.length("chunk")).alias("n_codepoints"))
 
 
 @query(f"""
@@ -161,7 +169,7 @@ FROM m GROUP BY lang""")
 def akshara_fertility_by_lang(spark, sf):
     """The flagship: syllables as tokens, no vocabulary."""
     t = F.col("t")
-    tokens = F.size(F.filter(T.chunks(t), T.is_akshara))
+    tokens = T.count_aksharas(t)
     m = bengali(spark, sf).select("lang", _long(F.size(T.words(t))).alias("w"), _long(tokens).alias("a"), _long(T.bytes_of(t)).alias("b"))
     sums = m.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum("w").alias("n_words"), F.sum("a").alias("n_tokens"), F.sum("b").alias("n_bytes"))
     return sums.select("*", (F.col("n_tokens") / F.col("n_words")).alias("fertility"), (F.col("n_bytes") / F.col("n_tokens")).alias("bytes_per_token"))
@@ -320,20 +328,33 @@ def fused_vs_factored(spark, sf):
     return s.groupBy("fused").agg(F.count("*").alias("n_kinds"), F.sum("n").alias("n"), F.sum(F.col("n") * pieces).alias("n_pieces"))
 
 
-@query(None)
+@query(f"""
+WITH {BN}, g AS (SELECT doc_id, {_NORM} AS n FROM bn)
+SELECT doc_id, scheme, true AS ok, CAST(strlen(n) AS BIGINT) AS n_bytes FROM g, (VALUES ('grapheme'), ('akshara'), ('hybrid')) s(scheme)""")
 def dictionary_roundtrip(spark, sf):
-    """Texts as atoms and back, for the grapheme, syllable and hybrid dictionaries."""
+    """Texts as atoms and back, for the grapheme, syllable and hybrid dictionaries of all texts: none is changed."""
     docs = bengali(spark, sf).select("doc_id", T.normalize(F.col("t")).alias("t"))
     out = None
     for scheme in ("grapheme", "akshara", "hybrid"):
         made = dictionary.learn(docs, "doc_id", "t", scheme)
-        coded = dictionary.encode(docs, made, "doc_id", "t")
-        back = dictionary.decode(coded, made, "doc_id", "atoms")
-        ok = docs.join(back, "doc_id").select("doc_id", F.lit(scheme).alias("scheme"), (F.col("text") == F.col("t")).alias("ok"))
+        back = dictionary.decode(dictionary.encode(docs, made, "doc_id", "t"), made, "doc_id", "atoms")
+        sums = back.select("doc_id", F.sha2("text", 256).alias("after"), _long(T.bytes_of(F.col("text"))).alias("n_bytes"))
+        ok = docs.select("doc_id", F.sha2("t", 256).alias("before")).join(sums, "doc_id").select("doc_id", F.lit(scheme).alias("scheme"), (F.col("before") == F.col("after")).alias("ok"), "n_bytes")
         out = ok if out is None else out.unionByName(ok)
     return out
 
 
+@query(f"""
+WITH {CHUNKS}, o AS (SELECT doc_id, chunk, coalesce(SUM(length(chunk)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM ck)
+SELECT doc_id, COUNT(*) AS n_spans, CAST(SUM(s) AS BIGINT) AS sum_starts FROM o WHERE {_IS_AK} GROUP BY doc_id""")
+def encode_spans(spark, sf):
+    """Spans of syllables in atoms, for a dictionary of code points alone: each is as long as its syllable."""
+    made = dictionary.Dictionary("akshara", {c: c for c in sorted(ch.GUARANTEED)})
+    coded = dictionary.encode(bengali(spark, sf), made, "doc_id", "t")
+    spans = coded.select("doc_id", F.explode(F.filter("spans", lambda x: F.substring("atoms", x["start"] + 1, 1).rlike(f"[{ch.C}{ch.V}]"))).alias("x"))
+    return spans.groupBy("doc_id").agg(F.count("*").alias("n_spans"), F.sum(_long(F.col("x.start"))).alias("sum_starts"))
+
+
 # --- corpora ---
 @query("""
 WITH n AS (SELECT source, COUNT(*) AS n FROM documents GROUP BY source), w(source, weight) AS (VALUES ('src0', 0.5), ('src1', 0.3), ('src2', 0.15), ('src3', 0.05))
@@ -354,9 +375,9 @@ def weighted_mix_rows(spark, sf):
     return mixed.select("source", "place", "doc_id")
 
 
-@query("""
+@query(f"""
 WITH r AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS k FROM documents),
-l AS (SELECT k, doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS n FROM r WHERE k > 50),
+l AS (SELECT k, doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^{_WS}]'))) AS n FROM r WHERE k > 50),
 s AS (SELECT doc_id, n, coalesce(SUM(n) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l)
 SELECT doc_id, CAST(n AS BIGINT) AS n_lines FROM s WHERE before < 800""")
 def heldout_slice(spark, sf):
@@ -366,7 +387,10 @@ def heldout_slice(spark, sf):
 
 @query("""
 WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents)
-SELECT source, SUM(CASE WHEN k <= 10 THEN 1 ELSE 0 END)::BIGINT AS n_train, SUM(CASE WHEN k > 10 AND k <= 15 THEN 1 ELSE 0 END)::BIGINT AS n_held, CAST(0 AS BIGINT) AS n_both FROM r GROUP BY source""")
+SELECT s.source, a.n AS n_train, coalesce(b.n, 0) AS n_held, coalesce(c.n, 0) AS n_both FROM (SELECT DISTINCT source FROM r) s
+LEFT JOIN (SELECT source, COUNT(*) AS n FROM r WHERE k <= 10 GROUP BY source) a ON s.source = a.source
+LEFT JOIN (SELECT source, COUNT(*) AS n FROM r WHERE k > 10 AND k <= 15 GROUP BY source) b ON s.source = b.source
+LEFT JOIN (SELECT t.source, COUNT(*) AS n FROM r t JOIN r h ON t.source = h.source AND t.doc_id = h.doc_id WHERE t.k <= 10 AND h.k > 10 AND h.k <= 15 GROUP BY t.source) c ON s.source = c.source""")
 def heldout_disjoint(spark, sf):
     docs = table(spark, sf, "documents").select("source", "doc_id")
     train = corpus.offset_limit(docs, 0, 10, order=["doc_id"], within=["source"])
@@ -419,26 +443,109 @@ def word_stats(spark, sf):
     return w.groupBy("lang").agg(F.count("*").alias("n_words"), F.countDistinct("w").alias("n_distinct"), F.sum(F.length("w")).alias("n_codepoints"))
 
 
-@query(None)
+_GRAPHEME_SQL = f"'[{_JOIN}](?:[{_IN}]*{ch.VIRAMA}[{_IN}{ch.VIRAMA}]*[{_JOIN}])*[{_EXT}]*|' || chr(13) || chr(10) || '|' || chr(10) || '|' || chr(13) || '|(?s:.)[{_EXT}]*'"
+_N_CLUSTERS = f"CAST(len(regexp_extract_all(%s, {_GRAPHEME_SQL})) AS BIGINT)"
+
+
+@query(f"WITH {BN}, c AS (SELECT unnest(regexp_extract_all(t, {_GRAPHEME_SQL})) AS cluster FROM bn) SELECT cluster, COUNT(*) AS n FROM c GROUP BY cluster")
+def grapheme_freq(spark, sf):
+    """Grapheme clusters of all texts."""
+    return bengali(spark, sf).select(F.explode(T.graphemes(F.col("t"))).alias("cluster")).groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+@query(f"""
+WITH {BN}, s AS (SELECT lang, t, regexp_extract_all(t, '(?s:.{{1,3}})') AS x FROM bn),
+p AS (SELECT lang, x[i] AS a, x[i + 1] AS b FROM (SELECT lang, x, unnest(range(1, len(x))) AS i FROM s)),
+f AS (SELECT lang, SUM(CASE WHEN {_N_CLUSTERS % 'a'} + {_N_CLUSTERS % 'b'} <> {_N_CLUSTERS % '(a || b)'} THEN 1 ELSE 0 END) AS f FROM p GROUP BY lang),
+n AS (SELECT lang, SUM({_N_CLUSTERS % 't'}) AS n FROM s GROUP BY lang)
+SELECT n.lang, CAST(f AS BIGINT) AS n_fragmented, CAST(n AS BIGINT) AS n_clusters, CAST(f AS DOUBLE) / n AS fragmentation FROM n JOIN f USING (lang)""")
 def fragmentation_pairwise(spark, sf):
     """Adjacent tokens of three code points that join into fewer clusters than they have apart."""
     lines = bengali(spark, sf).select("lang", "t")
     return scoring.pairwise_of_fixed(lines, "t", 3, "lang")
 
 
+@query(f"""
+WITH {BN}, g AS (SELECT doc_id, {N_WORDS} AS w, strlen(t) AS b, length(t) AS n, unnest(regexp_extract_all(t, {_GRAPHEME_SQL})) AS c, generate_subscripts(regexp_extract_all(t, {_GRAPHEME_SQL}), 1) AS pos,
+  len(list_filter({WORDS_SQL % 't'}, lambda x: length(x) <= 3)) AS single FROM bn WHERE regexp_matches(t, '[^{_WS}]')),
+o AS (SELECT *, coalesce(SUM(length(c)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM g),
+k AS (SELECT COUNT(*) AS n_clusters, SUM(CASE WHEN (s + length(c) - 1) // 3 * 3 > s THEN 1 ELSE 0 END) AS cut FROM o WHERE regexp_matches(c, '[^{_WS}]')),
+d AS (SELECT SUM((n + 2) // 3) AS tokens, SUM(w) AS words, SUM(b) AS bytes, SUM(single) AS single FROM (SELECT DISTINCT doc_id, w, b, n, single FROM g))
+SELECT 'three code points' AS model, true AS available, CAST(tokens AS BIGINT) AS tokens, CAST(words AS BIGINT) AS words, CAST(tokens AS DOUBLE) / words AS fertility, CAST(single AS DOUBLE) / words AS strr,
+  CAST(bytes AS DOUBLE) / tokens AS bytes_per_token, CAST(cut AS DOUBLE) / n_clusters AS conjunct_fragmentation, CAST(cut AS BIGINT) AS n_fragmented, CAST(n_clusters AS BIGINT) AS n_clusters FROM d, k""")
+def external_scores(spark, sf):
+    """A tokenizer of three code points a token, scored by its offsets as one made elsewhere; one that cannot be had is left out of the ranking."""
+    docs = bengali(spark, sf)
+    n = F.length("t")
+    starts = F.sequence(F.lit(0), F.floor((n - 1) / 3).cast("int"))
+    spans = F.when(n > 0, F.transform(starts, lambda k: F.struct((k * 3).alias("start"), F.least(k * 3 + 3, n).alias("end"))))
+    coded = docs.select("doc_id", spans.alias("spans"), F.ceil(n / 3).alias("n_tokens"), F.size(F.filter(T.words(F.col("t")), lambda w: F.length(w) <= 3)).alias("n_single"))
+    rows = scoring.external(docs.select("doc_id", "t"), coded, "three code points", text="t")
+    return scoring.ranked(rows.unionByName(scoring.unavailable(spark, "absent")))
+
+
 @query(f"""
 WITH {BN}, m AS (SELECT {N_WORDS} AS w, strlen(t) AS b, len({CHUNK_SQL}) AS a, length(t) AS c FROM bn),
 r AS (SELECT 'syllables' AS model, SUM(a) AS n_tokens, SUM(w) AS n_words, SUM(b) AS n_bytes FROM m UNION ALL SELECT 'code points', SUM(c), SUM(w), SUM(b) FROM m)
 SELECT model, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(n_words AS BIGINT) AS n_words, CAST(n_tokens AS DOUBLE) / n_words AS fertility, CAST(n_bytes AS DOUBLE) / n_tokens AS bytes_per_token FROM r""".replace(f"len({CHUNK_SQL})", f"len(list_filter({CHUNK_SQL}, lambda c: regexp_matches(c, '^[{ch.C}{ch.V}]')))"))
 def score_union_sorted(spark, sf):
     t = F.col("t")
-    m = bengali(spark, sf).select(F.size(T.words(t)).alias("w"), T.bytes_of(t).alias("b"), F.size(F.filter(T.chunks(t), T.is_akshara)).alias("a"), F.length(t).alias("c"))
+    m = bengali(spark, sf).select(F.size(T.words(t)).alias("w"), T.bytes_of(t).alias("b"), T.count_aksharas(t).alias("a"), F.length(t).alias("c"))
     sums = m.agg(*(F.sum(x).alias(x) for x in "wbac"))
     rows = sums.select(F.explode(F.array(*(F.struct(F.lit(name).alias("model"), F.col(x).alias("n_tokens")) for name, x in (("syllables", "a"), ("code points", "c"))))).alias("r"), "w", "b")
     out = rows.select("r.model", "r.n_tokens", F.col("w").alias("n_words"), (F.col("r.n_tokens") / F.col("w")).alias("fertility"), (F.col("b") / F.col("r.n_tokens")).alias("bytes_per_token"))
     return out.orderBy("fertility")
 
 
+# --- recognised text against a reference ---
+_SCRIPT_BN = f"{chr(0x980)}-{chr(0x9E5)}{chr(0x9F0)}-{chr(0x9FF)}{ch.ZWNJ}{ch.ZWJ}"
+
+
+@query("""
+WITH d AS (SELECT doc_id, lang, list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda w: w <> '') AS ws FROM documents WHERE length(text) < 2000)
+SELECT doc_id, CASE WHEN len(ws) > 0 THEN CAST(len(ws) // 10 AS DOUBLE) / len(ws) END AS wer FROM d""")
+def wer_of_shortened(spark, sf):
+    """Word error rate of texts that have lost their last tenth: all of the distance is deletions. The distance is quadratic, so long texts have no place in it (under 2,000 characters, as in pages)."""
+    ws = F.filter(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), lambda w: w != "")
+    docs = table(spark, sf, "documents").filter(F.length("text") < 2000).select("doc_id", ws.alias("ws"))
+    less = F.slice("ws", 1, F.size("ws") - F.floor(F.size("ws") / 10).cast("int"))
+    return docs.select("doc_id", metrics.wer(F.array_join(less, " "), F.array_join("ws", " ")).alias("wer"))
+
+
+@query(f"""
+WITH {BN}, c AS (SELECT doc_id, regexp_extract_all({_NORM}, {_GRAPHEME_SQL}) AS r, regexp_extract_all(replace({_NORM}, '{chr(0x9B2)}', '{chr(0x9B6)}'), {_GRAPHEME_SQL}) AS h FROM bn),
+g AS (SELECT doc_id, list_distinct(list_transform(range(1, len(h) - 2), lambda i: array_to_string(list_slice(h, i, i + 3), chr(1)))) AS hs,
+  list_distinct(list_transform(range(1, len(r) - 2), lambda i: array_to_string(list_slice(r, i, i + 3), chr(1)))) AS rs FROM c)
+SELECT doc_id, CASE WHEN len(hs) > 0 THEN CAST(len(hs) - len(list_intersect(hs, rs)) AS DOUBLE) / len(hs) END AS made_up FROM g""")
+def made_up_grams(spark, sf):
+    """Share of 4-grams of clusters that a text with one letter misread has and the text does not."""
+    docs = bengali(spark, sf).select("doc_id", T.normalize(F.col("t")).alias("r"))
+    return docs.select("doc_id", metrics.made_up(F.replace("r", F.lit(chr(0x9B2)), F.lit(chr(0x9B6))), F.col("r")).alias("made_up"))
+
+
+@query(f"""
+WITH {BN}, p AS (SELECT unnest(regexp_extract_all(t, '[{_SCRIPT_BN}]+|[A-Za-z{chr(0xC0)}-{chr(0x24F)}]+|[0-9{chr(0x9E6)}-{chr(0x9EF)}]+|[^{_SCRIPT_BN}A-Za-z{chr(0xC0)}-{chr(0x24F)}0-9{chr(0x9E6)}-{chr(0x9EF)}{_WS}]+')) AS piece FROM bn)
+SELECT piece, COUNT(*) AS n FROM p GROUP BY piece""")
+def script_pieces(spark, sf):
+    """Texts cut at white space and where the script changes."""
+    return bengali(spark, sf).select(F.explode(T.script_pieces(F.col("t"))).alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k FROM documents), b(source, n) AS (VALUES ('src0', 40), ('src1', 25), ('src2', 5))
+SELECT source, doc_id, CASE WHEN k < n THEN 'train' ELSE 'held_out' END AS part FROM r JOIN b USING (source) WHERE k < n + 10""")
+def register_slices(spark, sf):
+    """Training budgets of registers and the held-out documents right after them."""
+    docs = table(spark, sf, "documents").select("source", "doc_id")
+    return corpus.register_slices(docs, {"src0": 40, "src1": 25, "src2": 5}, 10, ["doc_id"])
+
+
+@query(None)
+def dataset_version(spark, sf):
+    """Counts and checksums of each register."""
+    return corpus.versioned(table(spark, sf, "documents"), "1")
+
+
 # --- subword vocabularies ---
 @query(f"""
 WITH {BN} SELECT word, COUNT(*) AS n FROM (SELECT unnest(string_split(regexp_replace('{ch.MARKER}' || replace(t, ' ', '{ch.MARKER}'), '(.){ch.MARKER}', '\\1' || chr(1) || '{ch.MARKER}', 'g'), chr(1))) AS word FROM (SELECT regexp_replace(replace(replace(t, chr(10), ' '), '  ', ' '), '^ ', '') AS t FROM bn)) GROUP BY word""")
@@ -457,16 +564,10 @@ def bpe_pair_counts(spark, sf):
     return subword.pair_counts(w)
 
 
-_MODELS: dict[tuple[str, str, str], subword.Model] = {}
-
-
 def _model(spark, sf, algo: str, scheme: str):
-    """All documents and a model of them, trained once in a session."""
+    """All documents and a model of them."""
     docs = bengali(spark, sf).select("doc_id", "t")
-    key = (sf, algo, scheme)
-    if key not in _MODELS:
-        _MODELS[key] = subword.train(docs, "doc_id", "t", scheme=scheme, algo=algo)
-    return docs, _MODELS[key]
+    return docs, subword.train(docs, "doc_id", "t", scheme=scheme, algo=algo)
 
 
 def _held_out() -> Column:
@@ -485,7 +586,7 @@ def bpe_encode_lengths(spark, sf):
     return subword.encode(docs, model, "doc_id", "t").select("doc_id", F.size("ids").alias("n_tokens"))
 
 
-@query(None)
+@query("SELECT doc_id, true AS roundtrip_ok, true AS content_ok FROM documents")
 def bpe_roundtrip(spark, sf):
     docs, model = _model(spark, sf, "bpe", "akshara")
     return subword.roundtrip(docs, model, "doc_id", "t")
@@ -510,8 +611,5 @@ def model_comparison(spark, sf):
     docs = bengali(spark, sf).select("doc_id", "t")
     models = {}
     for scheme in ("grapheme", "akshara", "hybrid"):
-        key = (sf, "bpe held out", scheme)
-        if key not in _MODELS:
-            _MODELS[key] = subword.train(docs.filter(~_held_out()), "doc_id", "t", scheme=scheme)
-        models[scheme] = _MODELS[key]
+        models[scheme] = subword.train(docs.filter(~_held_out()), "doc_id", "t", scheme=scheme)
     return scoring.compare(docs.filter(_held_out()), models, "doc_id", "t")

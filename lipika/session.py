@@ -54,6 +54,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def spread(df: DataFrame, below_mb: int = 24) -> DataFrame:
+    """A scan of a small table dealt over all cores: its few row groups would be as many tasks. Larger ones stay as they are."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of the files; nothing is read
+    return df.repartition(spark.sparkContext.defaultParallelism) if size < below_mb << 20 else df
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path of any file system that Spark can reach."""
     jvm = spark.sparkContext._jvm
