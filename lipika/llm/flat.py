@@ -80,12 +80,19 @@ def hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return out
 
 
-def words(flat: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, ends) of the runs of bytes for which the table ``space`` (256 of bool) is false; zero must be a space."""
-    inside = np.zeros(len(flat) + 2, bool)
-    np.logical_not(space[flat], out=inside[1:-1])
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    return edges[::2], edges[1::2]
+def words(flat: np.ndarray, space: np.ndarray, alone: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the runs of bytes for which the table ``space`` (256 of bool) is false; zero must be a space. Bytes of ``alone`` are words of their own."""
+    solid = np.zeros(len(flat) + 2, bool)
+    np.logical_not(space[flat], out=solid[1:-1])
+    edge = solid[1:] != solid[:-1]
+    if not alone:
+        at = np.flatnonzero(edge)
+        return at[::2], at[1::2]
+    mark = np.zeros(len(flat) + 2, bool)
+    for b in alone:
+        mark[1:-1] |= flat == b
+    cut = edge | mark[1:] | mark[:-1]
+    return np.flatnonzero(cut & solid[1:]), np.flatnonzero(cut & solid[:-1])
 
 
 def strings(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:

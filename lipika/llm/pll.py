@@ -5,29 +5,33 @@ network (numpy, single precision): embeddings of the window, one tanh layer, and
 two steps, the upper and the lower half of the word's number. A document's score is the sum
 of the conditional log-probabilities of all its words.
 
-Vocabulary: words are counted over all documents; the most frequent ``KNOWN`` have numbers of
-their own and the others share ``SHARED`` by hash; among those that share a number, a word has
-its part of their count in the corpus, from a written table of all words. Training runs over all documents too: each
-task trains a copy on its rows, with every word as a target in each round, and the copies are
-averaged, weighted by their targets; ``ROUNDS`` times. What is gathered are word
-counts and one set of weights for each task, so it grows with the corpus; what reaches the
-driver (the vocabulary and one set of weights) has a fixed size.
+Vocabulary: words (between ASCII white space, in lower case; commas and full stops stand
+alone) are counted over all documents. The most frequent ``KNOWN`` have numbers of their own
+and the others share ``SHARED`` by hash; among those that share a number, a word has its part
+of their count in the corpus, from a written table of all words. Training runs over all
+documents too: each task trains a copy on its rows, with every word as a target once in each of
+``ROUNDS``, and the copies are averaged, weighted by their targets. So the scores depend, a
+little, on how the rows are dealt to tasks; the same table read by the same splits gives the
+same scores. What is gathered are word counts and one set of weights for each task, which
+grow with the corpus; what reaches the driver (the vocabulary and one set of weights) has a
+fixed size.
 
 Defined results: a null or blank text has no words, sum 0 and no mean. Repeated rows count
 as often as they occur, in training too. Without any word the untrained network scores.
+Other columns are not read. Texts of any length are worked on as a whole.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lipika.llm import flat as fl
 from lipika.llm.topk import most_frequent
 from lipika.session import written
 
@@ -36,8 +40,8 @@ HALF = 64
 WORDS = HALF * HALF
 SHARED = 256
 KNOWN = WORDS - SHARED - 1
-DIM, HIDDEN = 16, 48
-ROUNDS = 2
+DIM, HIDDEN = 8, 32
+ROUNDS = 1
 BATCH = 2048
 RATE = 0.08
 SHAPES = {
@@ -54,146 +58,157 @@ _OFFSETS = [o for o in range(-SIDE, SIDE + 1) if o]
 N_WEIGHTS = sum(int(np.prod(s)) for s in SHAPES.values())
 
 
-def words_of(text: str | None) -> list[str]:
-    """Words in lower case; commas and full stops stand alone."""
-    return text.lower().replace(",", " , ").replace(".", " . ").split() if text else []
+_SPACE = np.zeros(256, bool)
+_SPACE[[0, *range(9, 14), 32]] = True
 
 
-class Vocabulary(dict):
-    """Word -> number. 0 is outside the text; unknown words share the last ``SHARED`` numbers."""
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a group of texts: their bytes in lower case, where words start and end, the words' hashes, and the text of each word."""
+    flat, marks = fl.joined(pc.utf8_lower(texts))
+    starts, ends = fl.words(flat, _SPACE, b",.")
+    return flat, starts, ends, fl.hashes(flat, starts, ends), np.searchsorted(marks, starts)
+
+
+class Vocabulary:
+    """Word -> number, by hash. 0 is outside the text; unknown words share the last ``SHARED`` numbers."""
 
     def __init__(self, known: list[str]):
-        super().__init__({w: k + 1 for k, w in enumerate(known)})
+        self.table = fl.Table(max(1, len(known)))
+        flat, marks = fl.joined(pa.array(known, pa.string()))
+        self.table.add(fl.hashes(flat, np.concatenate([[0], marks[:-1] + 1]).astype(np.int64), marks) if len(known) else np.zeros(0, np.uint64))
 
-    def __missing__(self, word: str) -> int:
-        n = WORDS - SHARED + zlib.crc32(word.encode("utf-8", "replace")) % SHARED
-        if len(self) < 300_000:
-            self[word] = n
-        return n
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        found = self.table.find(hashes)
+        return np.where(found < 0, WORDS - SHARED + bucket_of(hashes), found + 1).astype(np.int16)
 
-    def numbers(self, text: str | None) -> np.ndarray:
-        ws = words_of(text)
-        return np.fromiter(map(self.__getitem__, ws), np.int32, len(ws))
+
+def bucket_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes % np.uint64(SHARED)).astype(np.int32)
 
 
 class Network:
-    """The weights, as views of one flat array."""
+    """The weights, as views of one flat array; embeddings come first."""
 
     def __init__(self, flat: np.ndarray | None = None):
         if flat is None:
             rng = np.random.default_rng(20240101)
             flat = np.concatenate([(rng.standard_normal(s) * (0.1 if len(s) > 1 else 0)).ravel() for s in SHAPES.values()])
         self.flat = np.array(flat, np.float32)
-        self.part, at = {}, 0
+        self.flat_grad = np.zeros(N_WEIGHTS, np.float32)
+        self.part, self.grad, at = {}, {}, 0
         for name, shape in SHAPES.items():
             n = int(np.prod(shape))
-            self.part[name] = self.flat[at : at + n].reshape(shape)
+            self.part[name], self.grad[name] = self.flat[at : at + n].reshape(shape), self.flat_grad[at : at + n].reshape(shape)
             at += n
         self.squares = np.full(N_WEIGHTS, 1e-2, np.float32)
 
     def forward(self, context: np.ndarray, target: np.ndarray) -> tuple:
         """``context`` (n, 2 * SIDE) and ``target`` (n) are word numbers; the last item is log P(target | context)."""
         p = self.part
-        x = p["embed"][context].reshape(len(context), -1)
-        h = np.tanh(x @ p["w"] + p["b"])
-        up, low = target // HALF, target % HALF
-        g = h + p["given"][up]
-        a, b = h @ p["upper"] + p["upper_b"], g @ p["lower"] + p["lower_b"]
-        row = np.arange(len(target))
-        out = []
-        for z, k in ((a, up), (b, low)):
-            z -= z.max(axis=1, keepdims=True)
-            top = z[row, k]
+        x = p["embed"].take(context.ravel(), axis=0).reshape(len(context), -1)
+        h = x @ p["w"]
+        h += p["b"]
+        np.tanh(h, out=h)
+        up, low = np.divmod(target, HALF)
+        g = h + p["given"].take(up, axis=0)
+        row, logs, parts = np.arange(len(target)) * HALF, 0.0, []
+        for z, bias, k in ((h @ p["upper"], "upper_b", up), (g @ p["lower"], "lower_b", low)):
+            z += p[bias]
+            np.minimum(z, 80, out=z)  # what exp can hold; such logits are not met
+            top = z.take(row + k)
             np.exp(z, out=z)
             total = z.sum(axis=1)
-            out.append((top - np.log(total), total))
-        return x, h, g, up, low, a, b, out[0][1], out[1][1], out[0][0] + out[1][0]
+            logs = logs + (top - np.log(total))
+            parts += [z, total]
+        return x, h, g, up, low, row, *parts, logs
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         return self.forward(context, target)[-1]
 
     def step(self, context: np.ndarray, target: np.ndarray) -> float:
         """One Adagrad step on a batch; the mean log-probability before it."""
-        p, n = self.part, len(target)
-        x, h, g, up, low, a, b, total_a, total_b, logs = self.forward(context, target)
-        row = np.arange(n)
-        a /= total_a[:, None]
-        b /= total_b[:, None]
-        a[row, up] -= 1
-        b[row, low] -= 1
-        a /= n
-        b /= n
-        grad = np.zeros(N_WEIGHTS, np.float32)
-        view, at = {}, 0
-        for name, shape in SHAPES.items():
-            size = int(np.prod(shape))
-            view[name] = grad[at : at + size].reshape(shape)
-            at += size
-        view["upper"][:], view["upper_b"][:] = h.T @ a, a.sum(0)
-        view["lower"][:], view["lower_b"][:] = g.T @ b, b.sum(0)
+        p, n, grad = self.part, len(target), self.grad
+        x, h, g, up, low, row, a, total_a, b, total_b, logs = self.forward(context, target)
+        for z, total, k in ((a, total_a, up), (b, total_b, low)):
+            z *= (1 / (n * total))[:, None]
+            z.ravel()[row + k] -= np.float32(1 / n)
+        np.matmul(h.T, a, out=grad["upper"])
+        np.matmul(g.T, b, out=grad["lower"])
+        np.matmul(_ones(n), a, out=grad["upper_b"])
+        np.matmul(_ones(n), b, out=grad["lower_b"])
         dg = b @ p["lower"].T
-        view["given"][:] = np.eye(HALF, dtype=np.float32)[up].T @ dg
-        dh = (a @ p["upper"].T + dg) * (1 - h * h)
-        view["w"][:], view["b"][:] = x.T @ dh, dh.sum(0)
+        np.matmul(_EYE.take(up, axis=0).T, dg, out=grad["given"])
+        dh = a @ p["upper"].T
+        dh += dg
+        h *= h
+        np.subtract(1, h, out=h)
+        dh *= h
+        np.matmul(x.T, dh, out=grad["w"])
+        np.matmul(_ones(n), dh, out=grad["b"])
         dx = (dh @ p["w"].T).reshape(-1, DIM)
         flat = context.ravel()
-        order = np.argsort(flat, kind="stable")
-        kinds, first = np.unique(flat[order], return_index=True)
-        view["embed"][kinds] = np.add.reduceat(dx[order], first, axis=0)
-        self.squares += grad * grad
-        self.flat -= RATE * grad / np.sqrt(self.squares)
+        order = np.argsort(flat, kind="stable")  # of 16-bit numbers: a radix sort
+        ordered = flat.take(order)
+        first = np.flatnonzero(np.diff(ordered, prepend=-1))
+        sums = np.add.reduceat(dx.take(order, axis=0), first, axis=0)
+        kinds = ordered.take(first)
+        # embeddings: only rows that were met
+        squares = self.squares[: WORDS * DIM].reshape(WORDS, DIM)
+        squares[kinds] += sums * sums
+        p["embed"][kinds] -= RATE * sums / np.sqrt(squares[kinds])
+        rest, flat_grad = self.squares[WORDS * DIM :], self.flat_grad[WORDS * DIM :]
+        rest += flat_grad * flat_grad
+        self.flat[WORDS * DIM :] -= RATE * flat_grad / np.sqrt(rest)
         return float(logs.mean())
 
 
+_EYE = np.eye(HALF, dtype=np.float32)
+
+
+def _ones(n: int) -> np.ndarray:
+    return np.ones(n, np.float32)
+
+
 def windows(numbers: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The numbers around each place; ``numbers`` has ``SIDE`` zeros at both ends, which places do not count."""
     return np.stack([numbers[at + SIDE + o] for o in _OFFSETS], axis=1)
 
 
-def _padded(numbers: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(numbers) + 2 * SIDE, np.int32)
-    out[SIDE : len(numbers) + SIDE] = numbers
-    return out
+def padded(numbers: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' numbers with ``SIDE`` zeros at both ends of each text, and each word's place for :func:`windows`."""
+    at = np.arange(len(numbers)) + owner * 2 * SIDE
+    out = np.zeros(len(numbers) + 2 * SIDE * texts, np.int16)
+    out[at + SIDE] = numbers
+    return out, at
 
 
-def score_texts(network: Network, vocabulary: Vocabulary, texts: list[str | None]) -> list[tuple[int, float]]:
-    """(words, summed log-probability) of each text."""
-    numbers = [vocabulary.numbers(t) for t in texts]
-    sizes = np.array([len(n) for n in numbers], np.int64)
-    sums = np.zeros(len(texts))
-    if sizes.sum():
-        flat = np.concatenate([_padded(n) for n in numbers])
-        owner = np.repeat(np.arange(len(texts)), sizes)
-        at = np.arange(len(owner)) + owner * 2 * SIDE
-        for k in range(0, len(at), BATCH):
-            some = at[k : k + BATCH]
-            logs = network.log_probabilities(windows(flat, some), flat[some + SIDE])
-            first = int(owner[k])
-            part = np.bincount(owner[k : k + BATCH] - first, logs.astype(np.float64))
-            sums[first : first + len(part)] += part
-    return list(zip(sizes.tolist(), sums.tolist()))
+def score_texts(network: Network, vocabulary: Vocabulary, hashes: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words and summed log-probability of each text, given its words' hashes."""
+    numbers = vocabulary.numbers(hashes)
+    flat, at = padded(numbers, owner, texts)
+    sums = np.zeros(texts)
+    for k in range(0, len(at), BATCH):
+        some = at[k : k + BATCH]
+        logs = network.log_probabilities(windows(flat, some), flat[some + SIDE])
+        first = int(owner[k])
+        part = np.bincount(owner[k : k + BATCH] - first, logs.astype(np.float64))
+        sums[first : first + len(part)] += part
+    return np.bincount(owner, minlength=texts), sums
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``word`` and ``n`` of all documents, as a written table."""
+    """``word``, ``h`` (its hash), ``bucket`` and ``n`` of all documents, as a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            words, n = list(counts), list(counts.values())
-            counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n, pa.int64())], names=["word", "n"])
-
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                counts.update(words_of(t))
-            if len(counts) > 200_000:
-                yield out()
-        yield out()
+            for texts in fl.groups(batch.column(0), 1 << 23):
+                flat, starts, ends, h, _ = words_of(texts)
+                kinds, first, n = np.unique(h, return_index=True, return_counts=True)
+                found = pa.array(fl.strings(flat, starts[first], ends[first]), pa.string())
+                yield pa.RecordBatch.from_arrays([found, pa.array(kinds.view(np.int64)), pa.array(bucket_of(kinds)), pa.array(n)], names=["word", "h", "bucket", "n"])
 
-    counted = docs.select(text).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return written(counted, "words")
+    rows = docs.select(F.make_valid_utf8(F.col(text).cast("string"))).mapInArrow(run, "word string, h bigint, bucket int, n bigint")
+    return written(rows.groupBy("word", "h", "bucket").agg(F.sum("n").alias("n")), "words")
 
 
 def vocabulary_of(docs: DataFrame, text: str = "text", counts: DataFrame | None = None) -> list[str]:
@@ -203,11 +218,32 @@ def vocabulary_of(docs: DataFrame, text: str = "text", counts: DataFrame | None
 
 
 def shares(counts: DataFrame, known: list[str]) -> DataFrame:
-    """``word`` and ``log_share`` of the words without a number: the log of each one's part of its bucket's count."""
+    """``h`` and ``log_share`` of the words without a number: the log of each one's part of its bucket's count."""
     numbered = counts.sparkSession.createDataFrame([(w,) for w in known], "word string")
-    rest = counts.join(F.broadcast(numbered), "word", "left_anti").withColumn("bucket", F.crc32(F.encode("word", "UTF-8")) % SHARED)
+    rest = counts.join(F.broadcast(numbered), "word", "left_anti")
     totals = rest.groupBy("bucket").agg(F.sum("n").alias("total"))  # one row a bucket
-    return rest.join(F.broadcast(totals), "bucket").select("word", F.log(F.col("n") / F.col("total")).alias("log_share"))
+    return rest.join(F.broadcast(totals), "bucket").select("h", F.log(F.col("n") / F.col("total")).alias("log_share"))
+
+
+def _mean(copies: DataFrame, flat: np.ndarray) -> np.ndarray:
+    """The weighted mean of the copies' weights, summed by a tree of tasks; ``flat`` where there is none."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(N_WEIGHTS), 0.0
+        for batch in batches:
+            for w, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                total += w * x.values.to_numpy()
+                n += w
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(total / n).astype(np.float32)], pa.list_(pa.float32()))], names=["n", "flat"])
+
+    rows = written(copies, "weights")  # one row a task, trained once
+    parts = rows.count()
+    while parts > 8:
+        parts = -(-parts // 8)
+        rows = rows.repartition(parts).mapInArrow(summed, "n double, flat array<float>")
+    found = rows.coalesce(1).mapInArrow(summed, "n double, flat array<float>").collect()
+    return np.array(found[0]["flat"], np.float32) if found else flat
 
 
 def train(docs: DataFrame, known: list[str], text: str = "text", rounds: int = ROUNDS) -> np.ndarray:
@@ -218,34 +254,25 @@ def train(docs: DataFrame, known: list[str], text: str = "text", rounds: int = R
 
         def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
             vocabulary, network = Vocabulary(start.value[0]), Network(start.value[1])
-            contexts, targets, held, n = [], [], 0, 0
+            n = 0
+            held_c, held_t = np.zeros((0, 2 * SIDE), np.int16), np.zeros(0, np.int16)
             for batch in batches:
-                for t in batch.column(0).to_pylist():
-                    numbers = vocabulary.numbers(t)
-                    at = np.arange(len(numbers))
-                    if not len(at):
-                        continue
-                    contexts.append(windows(_padded(numbers), at))
-                    targets.append(numbers[at])
-                    held += len(at)
-                    if held >= BATCH:
-                        c, g = np.concatenate(contexts), np.concatenate(targets)
-                        whole = held // BATCH * BATCH
-                        for k in range(0, whole, BATCH):
-                            network.step(c[k : k + BATCH], g[k : k + BATCH])
-                        contexts, targets, held, n = [c[whole:]], [g[whole:]], held - whole, n + whole
-            if held:
-                network.step(np.concatenate(contexts), np.concatenate(targets))
-                n += held
+                for texts in fl.groups(batch.column(0)):
+                    h, owner = words_of(texts)[3:]
+                    flat, at = padded(vocabulary.numbers(h), owner, len(texts))
+                    c, g = np.concatenate([held_c, windows(flat, at)]), np.concatenate([held_t, flat[at + SIDE]])
+                    whole = len(g) // BATCH * BATCH
+                    for k in range(0, whole, BATCH):
+                        network.step(c[k : k + BATCH], g[k : k + BATCH])
+                    held_c, held_t, n = c[whole:], g[whole:], n + whole
+            if len(held_t):
+                network.step(held_c, held_t)
+                n += len(held_t)
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([n], pa.float64()), pa.array([network.flat], pa.list_(pa.float32()))], names=["n", "flat"])
 
-        copies = docs.select(text).mapInArrow(run, "n double, flat array<float>")
-        each = copies.select("n", F.posexplode("flat").alias("place", "value"))
-        mean = each.groupBy("place").agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("value")).toPandas()
-        if len(mean):
-            flat = np.zeros(N_WEIGHTS, np.float32)
-            flat[mean["place"].to_numpy()] = mean["value"].to_numpy()
+        copies = docs.select(F.make_valid_utf8(F.col(text).cast("string"))).mapInArrow(run, "n double, flat array<float>")
+        flat = _mean(copies, flat)
     return flat
 
 
@@ -260,24 +287,25 @@ def score(docs: DataFrame, known: list[str], flat: np.ndarray, id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, network = Vocabulary(shared.value[0]), Network(shared.value[1])
-        numbered = frozenset(shared.value[0])
         for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                part = batch.slice(at, 100)
-                texts = part.column(2).to_pylist()
-                got = score_texts(network, vocabulary, texts)
-                rare = [Counter(w for w in words_of(t) if w not in numbered) if rare_words else {} for t in texts]
-                columns = [part.column(0), part.column(1), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.float64())]
-                columns += [pa.array([list(r) for r in rare], pa.list_(pa.string())), pa.array([list(r.values()) for r in rare], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "n_words", "log_probability", "words", "times"])
+            done = 0
+            for texts in fl.groups(batch.column(2)):
+                h, owner = words_of(texts)[3:]
+                n, sums = score_texts(network, vocabulary, h, owner, len(texts))
+                rare = vocabulary.table.find(h) < 0 if rare_words else np.zeros(len(h), bool)
+                ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[rare], minlength=len(texts)))]), pa.int32())
+                words = pa.ListArray.from_arrays(ends, pa.array(h[rare].view(np.int64)))
+                columns = [batch.column(0).slice(done, len(texts)), batch.column(1).slice(done, len(texts)), pa.array(n, pa.int64()), pa.array(sums), words]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "n_words", "log_probability", "words"])
+                done += len(texts)
 
     id_name = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), id_col, text)
-    out = rows.mapInArrow(run, f"row bigint, id {id_name}, n_words bigint, log_probability double, words array<string>, times array<bigint>")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.make_valid_utf8(F.col(text).cast("string")).alias("text"))
+    out = rows.mapInArrow(run, f"row bigint, id {id_name}, n_words bigint, log_probability double, words array<bigint>")
     if rare_words:
         out = written(out, "scores")
-        each = out.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
-        parts = each.join(shares(counts, known), "word").groupBy("row").agg(F.sum(F.col("times") * F.col("log_share")).alias("within"))
+        each = out.select("row", F.explode("words").alias("h"))
+        parts = each.join(shares(counts, known), "h").groupBy("row").agg(F.sum("log_share").alias("within"))
         out = out.join(parts, "row", "left").withColumn("log_probability", F.col("log_probability") + F.coalesce("within", F.lit(0.0)))
     out = out.select(F.col("id").alias(id_col), "n_words", "log_probability")
     mean = F.when(F.col("n_words") > 0, F.col("log_probability") / F.col("n_words"))

@@ -1,6 +1,9 @@
 import random
+import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lipika.llm import pll
@@ -19,15 +22,24 @@ def plain_log_probability(network, numbers, k):
     return out
 
 
+def plain_words(text):
+    return re.findall(r"[,.]|[^,.\s\x00]+", (text or "").lower(), re.ASCII)
+
+
+def numbers_of(vocabulary, text):
+    return vocabulary.numbers(pll.words_of(pa.array([text or ""]))[3])
+
+
 def test_scores_equal_word_by_word(monkeypatch):
     monkeypatch.setattr(pll, "BATCH", 7)
     rng = np.random.default_rng(0)
     network = pll.Network(rng.standard_normal(pll.N_WEIGHTS) * 0.3)
     vocabulary = pll.Vocabulary(["a", "b", "c", "."])
     texts = ["a b c. a", None, "", "a", "b zz yy a c, c b a " * 5, "  "]
-    for text, (n, total) in zip(texts, pll.score_texts(network, vocabulary, texts)):
-        numbers = vocabulary.numbers(text)
-        assert n == len(numbers)
+    h, owner = pll.words_of(pa.array([t or "" for t in texts]))[3:]
+    for text, n, total in zip(texts, *pll.score_texts(network, vocabulary, h, owner, len(texts))):
+        numbers = numbers_of(vocabulary, text)
+        assert n == len(numbers) == len(plain_words(text))
         assert total == pytest.approx(sum(plain_log_probability(network, numbers, k) for k in range(n)), rel=1e-4, abs=1e-6)
 
 
@@ -63,7 +75,7 @@ def test_query_covers_all_documents(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = {r.doc_id: r for r in op2_lm_score(spark, sf).collect()}
     assert rows.keys() == docs.keys()
-    assert all(r.n_words == len(pll.words_of(docs[i])) and r.log_probability < 0 for i, r in rows.items())
+    assert all(r.n_words == len(plain_words(docs[i])) and r.log_probability < 0 for i, r in rows.items())
     assert np.mean([r.mean_log_probability for r in rows.values()]) > -np.log(pll.WORDS)
 
 
@@ -99,25 +111,22 @@ def test_every_position_is_a_target_in_each_round(spark, tmp_path, monkeypatch):
             return self
 
         def mapInArrow(self, run, schema):
-            import pyarrow as pa
-
             out = [b for b in run(iter([pa.RecordBatch.from_arrays([pa.array([" ".join(words)])], names=["text"])]))]
-            return spark.createDataFrame([(r["n"], r["flat"]) for b in out for r in b.to_pylist()], schema)
+            spark_rows = [(r["n"], r["flat"]) for b in out for r in b.to_pylist()]
+            return spark.createDataFrame(spark_rows, schema)
 
     pll.train(Local(), words, rounds=2)
     with open(seen) as f:
-        assert sorted(map(int, f.read().split())) == sorted(2 * [made[w] for w in words])
+        assert sorted(map(int, f.read().split())) == sorted(2 * numbers_of(made, " ".join(words)).tolist())
     assert len(pll.train(df, words, rounds=1)) == pll.N_WEIGHTS
 
 
 def test_rare_words_count_by_their_own_frequency(spark, monkeypatch):
     """Two words of one bucket, one three times as frequent: the scores differ by its logarithm, and the parts of a bucket sum to one."""
     monkeypatch.setattr(pll, "KNOWN", 1)
-    import zlib
-
     bucket = {}
     for k in range(10**6):
-        same = bucket.setdefault(zlib.crc32(f"r{k}".encode()) % pll.SHARED, [])
+        same = bucket.setdefault(int(pll.bucket_of(pll.words_of(pa.array([f"r{k}"]))[3])[0]), [])
         same.append(f"r{k}")
         if len(same) == 2:
             break
@@ -127,4 +136,33 @@ def test_rare_words_count_by_their_own_frequency(spark, monkeypatch):
     got = {r.doc_id: r.log_probability for r in pll.score_corpus(df).collect()}
     assert got[2] - got[1] == pytest.approx(np.log(3), abs=1e-4)
     part = pll.shares(pll.word_counts(df), ["the"]).collect()
-    assert {r.word for r in part} == {a, b} and sum(np.exp(r.log_share) for r in part) == pytest.approx(1)
+    assert len(part) == 2 and sum(np.exp(r.log_share) for r in part) == pytest.approx(1)
+
+
+def test_query_equals_brute_force(spark, monkeypatch):
+    """Counts, shares and every word's probability by plain loops, with the weights that training gives."""
+    monkeypatch.setattr(pll, "KNOWN", 12)
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(30).coalesce(1)
+    texts = {r.doc_id: r.text for r in df.collect()}
+    counts = Counter(w for t in texts.values() for w in plain_words(t))
+    known = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:12]]
+    assert pll.vocabulary_of(df) == known
+    network, vocabulary = pll.Network(pll.train(df, known)), pll.Vocabulary(known)
+    number = {w: int(numbers_of(vocabulary, w)[0]) for w in counts}
+    total = Counter()
+    for w, n in counts.items():
+        if w not in known:
+            total[number[w]] += n
+    got = {r.doc_id: r for r in pll.score_corpus(df).collect()}
+    for i in sorted(texts)[:6]:
+        ws = plain_words(texts[i])[:]
+        numbers = [number[w] for w in ws]
+        expected = sum(plain_log_probability(network, numbers, k) for k in range(len(ws)))
+        expected += sum(np.log(counts[w] / total[number[w]]) for w in ws if w not in known)
+        assert got[i].n_words == len(ws) and got[i].log_probability == pytest.approx(expected, rel=1e-3)
+
+
+def test_long_texts_and_extra_columns(spark):
+    df = spark.createDataFrame([(1, "a b, " * 150_000, 5, 6, 7)], "doc_id long, text string, row long, n_words long, h long")
+    r = pll.score_corpus(df).first()
+    assert r.n_words == 450_000 and r.log_probability < 0
