@@ -43,6 +43,13 @@ def groups(texts: pa.Array, most: int = GROUP) -> Iterator[pa.Array]:
         at, base = stop, int(ends[stop - 1])
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows``, so that a task holds few texts as Python strings."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The texts' bytes with a zero after each, and the places of these zeros. No text may be null."""
     if not len(texts):

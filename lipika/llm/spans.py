@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lipika.columns import free_name
+from lipika.llm.flat import slices
 from lipika.session import written
 
 LONG = 20
@@ -33,8 +34,8 @@ _END = re.compile(r"[.!?]+\s+|\n\s*")
 _WORD = re.compile(r"\S+")
 
 
-def sentences(text: str) -> list[tuple[int, int, list[str]]]:
-    """(start, end, words) of each sentence; together they cover the text."""
+def sentences(text: str, long: int | None = LONG) -> list[tuple[int, int, list[str]]]:
+    """(start, end, words) of each sentence; together they cover the text. Those of over ``long`` words are cut further (None: never)."""
     out: list[tuple[int, int, list[str]]] = []
     at = 0
     for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
@@ -42,7 +43,7 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
         if not words and out:
             out[-1] = (out[-1][0], end, out[-1][2])
             at = end
-        elif words and len(words) > LONG:
+        elif words and long and len(words) > long:
             first, begin = 0, at
             for k, m in enumerate(_WORD.finditer(text, at, end)):
                 if k + 1 < len(words) and zlib.crc32(words[k].encode("utf-8", "replace")) & 7 == 0:
@@ -78,9 +79,9 @@ def spans_of(sizes: list[int], run: int, min_words: int) -> list[tuple[int, int]
     return sorted(out)
 
 
-def span_hashes(text: str | None, run: int, min_words: int) -> list[tuple[int, int, int]]:
+def span_hashes(text: str | None, run: int, min_words: int, long: int | None = LONG) -> list[tuple[int, int, int]]:
     """(position, sentences, hash) of each run."""
-    cut = sentences(text) if text else []
+    cut = sentences(text, long) if text else []
     joined = [" ".join(s[2]) for s in cut]
     out = []
     for a, z in spans_of([len(s[2]) for s in cut], run, min_words):
@@ -98,17 +99,17 @@ def run_hashes(text: str | None, run: int, min_words: int) -> list[tuple[int, in
     return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", run: int = 2, min_words: int = 12) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", run: int = 2, min_words: int = 12, long: int | None = LONG) -> DataFrame:
     """The frame with repeated sentences cut from ``text``, and ``removed``: array of (start, end) in the old text."""
     row = free_name(docs, "row_key")
-    keyed = docs.withColumn(row, F.xxhash64(F.col(id_col), F.col(text)))
+    keyed = docs.withColumn(row, F.xxhash64(F.col(text)))  # with the id, a row's key
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, rows, at, ns, hs = [], [], [], [], []
             for i, r, t in zip(*(c.to_pylist() for c in batch.columns)):
-                found = span_hashes(t, run, min_words)
+                found = span_hashes(t, run, min_words, long)
                 ids += [i] * len(found)
                 rows += [r] * len(found)
                 at += [x[0] for x in found]
@@ -120,12 +121,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     runs = written(keyed.select(id_col, row, text).mapInArrow(hashed, f"id {id_type}, row bigint, at int, n int, h bigint"), "runs")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "row", "at")
-    repeated = runs.groupBy("h").agg(F.count("*").alias("times"), F.min(place).alias("first")).filter("times > 1")
-    later = runs.join(repeated, "h").filter(~place.eqNullSafe(F.col("first"))).select("row", "at", runs["n"]).distinct()
-    marks = later.groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("at"))  # at most a document's sentences
+    repeated = written(runs.groupBy("h").agg(F.count("*").alias("times"), F.min(place).alias("first")).filter("times > 1"), "repeated")
+    # runs that make up a thousandth of all each are a thousand at most: they are broadcast, so no task gets all rows of one
+    hot = F.col("times") >= max(1000, runs.count() // 1000)
+    few, rest = F.broadcast(repeated.filter(hot)), repeated.filter(~hot)
+    met = runs.join(few, "h").unionByName(runs.join(few, "h", "left_anti").join(rest, "h"))
+    later = met.filter(~place.eqNullSafe(F.col("first"))).select("id", "row", "at", "n")
+    marks = later.groupBy("id", "row").agg(F.collect_set(F.struct("at", "n")).alias("at"))  # at most twice a document's sentences
 
     first_mark, out_text, out_removed = free_name(docs, "marks"), free_name(docs, "new_text"), free_name(docs, "removed")
-    joined = keyed.join(marks.select(F.col("row").alias(row), F.col("at").alias(first_mark)), row, "left")
+    id_mark, row_mark = free_name(docs, "marked_id"), free_name(docs, "marked_row")
+    marks = marks.select(F.col("id").alias(id_mark), F.col("row").alias(row_mark), F.col("at").alias(first_mark))
+    joined = keyed.join(marks, keyed[id_col].eqNullSafe(F.col(id_mark)) & (F.col(row) == F.col(row_mark)), "left")
     span = "struct<start:int,end:int>"
 
     @F.pandas_udf(f"struct<t:string,r:array<{span}>>")
@@ -138,7 +145,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 new.append(t)
                 removed.append([])
                 continue
-            parts = sentences(t)
+            parts = sentences(t, long)
             gone = sorted({k for a in at for k in range(a["at"], a["at"] + a["n"])})
             lost = set(gone)
             new.append("".join(t[a:z] for k, (a, z, _) in enumerate(parts) if k not in lost))

@@ -1,5 +1,8 @@
+import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from lipika.llm import spans
 
 PASSAGE = "Then the grey ship came slowly past the mole. Nobody on the quay had seen her flag before. She carried salt and iron and nine letters. The harbour master wrote every name twice."
@@ -81,3 +84,45 @@ def test_each_sentence_of_a_passage_is_in_a_run_inside_it():
         assert all(sum(sizes[a:z]) >= 12 and (z - a >= 2 or len(sizes) == 1) for a, z in found)
         if sum(sizes) >= 12:
             assert {k for a, z in found for k in range(a, z)} == set(range(len(sizes)))
+
+
+def plain(rows):
+    """Brute force, on texts whose sentences end in a full stop and a space: every run of the fewest sentences that are two and have 12 words, from each sentence on and back."""
+    def cut(text):
+        return [p + ("" if k == len(text.split(". ")) - 1 else ". ") for k, p in enumerate(text.split(". "))]
+
+    seen, kept = {}, []
+    parts = [(i, cut(t)) for i, t in rows]
+    def runs(ps):
+        n = len(ps)
+        out = set()
+        for a in range(n):
+            out |= {(a, z) for z in range(a + 2, n + 1) if sum(len(p.split()) for p in ps[a:z]) >= 12 and not (z - 1 >= a + 2 and sum(len(p.split()) for p in ps[a : z - 1]) >= 12)}
+        for z in range(1, n + 1):
+            found = [a for a in range(z - 1) if sum(len(p.split()) for p in ps[a:z]) >= 12]
+            out |= {(max(found), z)} if found else set()
+        return out
+    for i, ps in sorted(parts):
+        for a, z in sorted(runs(ps)):
+            seen.setdefault(" ".join("".join(ps[a:z]).split()), (i, a))
+    for i, ps in parts:
+        gone = {k for a, z in runs(ps) if seen[" ".join("".join(ps[a:z]).split())] != (i, a) for k in range(a, z)}
+        kept.append((i, "".join(p for k, p in enumerate(ps) if k not in gone)))
+    return sorted(kept)
+
+
+def test_equals_plain_loops(spark):
+    rng = random.Random(11)
+    pool = [" ".join(f"w{rng.randrange(40)}" for _ in range(rng.randrange(2, 9))) for _ in range(25)]
+    rows = [(k, ". ".join(rng.choice(pool) for _ in range(rng.randrange(2, 30)))) for k in range(60)]
+    got = sorted((r.doc_id, r.text) for r in spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), long=None).collect())
+    assert got == plain(rows)
+
+
+def test_a_run_that_fills_a_third_of_the_table(spark):
+    words = "one two three four five six seven. eight nine ten eleven twelve thirteen fourteen. "
+    rows = [(k, words + f"own {k} words here. and more {k * 7} of them too.") for k in range(1500)] + [(None, "x y z"), (5000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit(1).alias("row_key"), F.lit(2).alias("marks"), F.lit(3).alias("id"), F.lit(4).alias("h"), F.lit(5).alias("times"))
+    got = {r.doc_id: r.text for r in spans.remove_repeats(df).collect()}
+    assert got[0].startswith("one two") and all(not got[k].startswith("one two") and f"own {k}" in got[k] for k in range(1, 1500))
+    assert got[None] == "x y z" and got[5000] is None
