@@ -10,7 +10,10 @@ from pyarrow import fs
 
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a URI (a plain path is local) and the path in it."""
+    """The file system of a URI (a plain path is local) and the path in it. Hadoop's names of S3 are Arrow's."""
+    for scheme in ("s3a://", "s3n://"):
+        if uri.startswith(scheme):
+            uri = "s3://" + uri.removeprefix(scheme)
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 

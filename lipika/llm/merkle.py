@@ -5,13 +5,14 @@ line feeds, and paragraphs into leaves: sentences, cut after ``LEAF`` code point
 they are longer. The cuts lose nothing, so two texts have equal roots only if they are
 equal (up to collisions of 128-bit hashes).
 
-A fingerprint is one string: the root (32 hex digits), ``|``, and the first 8 hex digits of
-each leaf's hash, with ``,`` between leaves, ``;`` between paragraphs and ``/`` between
-sections. Inner nodes follow from the leaves, so two strings are enough to find the
-branches that differ.
+A fingerprint is one string with all nodes of the tree: the root (32 hex digits), ``|``, and the sections
+with ``/`` between them. A section is the first 16 digits of its hash, ``:``, and its
+paragraphs with ``;`` between them; a paragraph is 16 digits of its hash, ``=``, and the
+first 8 digits of each leaf's hash with ``,`` between them. Two strings are enough to walk
+down the branches that differ (:func:`differing`).
 
 Defined results: a null text is empty, and the empty text has one empty paragraph. Ties of
-ids are ordered by text; null ids come last. Other columns are not read.
+ids are ordered by a hash of the text, then by the text; null ids come last. Ids may be of any type that has an order. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,11 +21,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lipika.columns import let, matches
+from lipika.operators import corpus
 
 LEAF = 160
+#: Rows in a range by which neighbours are found.
+ROWS = 2_000
 LEAF_PATTERN = rf"[^.!?]{{1,{LEAF}}}[.!?]*|[.!?]+"
-#: Most ranges of ids by which neighbours are found.
-MAX_RANGES = 4096
 
 
 def tree(text: Column) -> Column:
@@ -36,20 +38,28 @@ def tree(text: Column) -> Column:
 def fingerprint(text: Column) -> Column:
     """The fingerprint string of a text."""
 
-    def show(t: Column) -> Column:
-        paragraph = lambda leaves: F.md5(F.array_join(leaves, ","))
-        section = lambda ps: F.md5(F.array_join(F.transform(ps, paragraph), ";"))
-        root = F.md5(F.array_join(F.transform(t, section), "/"))
-        short = lambda leaves: F.array_join(F.transform(leaves, lambda x: F.substring(x, 1, 8)), ",")
-        leaves = F.array_join(F.transform(t, lambda ps: F.array_join(F.transform(ps, short), ";")), "/")
-        return F.concat(root, F.lit("|"), leaves)
+    def paragraph(ls: Column) -> Column:
+        short = F.array_join(F.transform(ls, lambda x: F.substring(x, 1, 8)), ",")
+        return let(F.md5(F.array_join(ls, ",")), lambda h: F.struct(h.alias("h"), F.concat(F.substring(h, 1, 16), F.lit("="), short).alias("shown")))
 
-    return let(tree(text), show)
+    def section(ps: Column) -> Column:
+        def of(nodes: Column) -> Column:
+            h = F.md5(F.array_join(F.transform(nodes, lambda p: p["h"]), ";"))
+            shown = F.array_join(F.transform(nodes, lambda p: p["shown"]), ";")
+            return let(h, lambda x: F.struct(x.alias("h"), F.concat(F.substring(x, 1, 16), F.lit(":"), shown).alias("shown")))
+
+        return let(F.transform(ps, paragraph), of)
+
+    def show(nodes: Column) -> Column:
+        root = F.md5(F.array_join(F.transform(nodes, lambda s: s["h"]), "/"))
+        return F.concat(root, F.lit("|"), F.array_join(F.transform(nodes, lambda s: s["shown"]), "/"))
+
+    return let(F.transform(tree(text), section), show)
 
 
 def leaves(fingerprint: Column) -> Column:
     """Distinct leaves of a fingerprint."""
-    return F.array_distinct(F.filter(F.split(F.substring_index(fingerprint, "|", -1), "[,;/]", -1), lambda x: x != ""))
+    return F.array_distinct(F.regexp_extract_all(fingerprint, F.lit("[=,]([0-9a-f]{8})"), F.lit(1)))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -65,60 +75,55 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def differing(a: Column, b: Column) -> Column:
-    """Branches in which two fingerprints differ: array of (section, paragraph), from 0, by comparing branch with branch."""
-    split = lambda fp: F.transform(F.split(F.substring_index(fp, "|", -1), "/", -1), lambda s: F.split(s, ";", -1))
+    """Branches in which two fingerprints differ: array of (section, paragraph), from 0. Sections whose nodes are equal are not entered."""
+    sections = lambda fp: F.split(F.substring_index(fp, "|", -1), "/", -1)
+    node = lambda x, mark: F.substring_index(x, mark, 1)
+    paragraphs = lambda s: F.when(s.isNull(), F.array().cast("array<string>")).otherwise(F.split(F.substring_index(s, ":", -1), ";", -1))
 
-    def walk(x: Column) -> Column:
-        size = lambda y: F.coalesce(F.size(y), F.lit(0))
-        nodes = F.sequence(F.lit(0), F.greatest(F.size(x["a"]), F.size(x["b"])) - 1)
+    def inside(k: Column, p: Column, q: Column) -> Column:
+        def walk(x: Column) -> Column:
+            most = F.greatest(F.size(x["p"]), F.size(x["q"]))
+            each = F.transform(F.sequence(F.lit(0), most - 1), lambda j: F.struct(k.alias("section"), j.alias("paragraph"), node(F.get(x["p"], j), "=").eqNullSafe(node(F.get(x["q"], j), "=")).alias("same")))
+            return F.filter(each, lambda y: ~y["same"])
 
-        def of(k: Column) -> Column:
-            p, q = F.get(x["a"], k), F.get(x["b"], k)
-            most = F.greatest(F.when(p.isNull(), 0).otherwise(size(p)), F.when(q.isNull(), 0).otherwise(size(q)))
-            inside = F.transform(F.sequence(F.lit(0), most - 1), lambda j: F.struct(k.alias("section"), j.alias("paragraph"), F.get(p, j).eqNullSafe(F.get(q, j)).alias("same")))
-            return F.when(p.eqNullSafe(q), F.filter(inside, lambda y: F.lit(False))).otherwise(F.filter(inside, lambda y: ~y["same"]))
+        return let(F.struct(paragraphs(p).alias("p"), paragraphs(q).alias("q")), walk)
 
-        return F.transform(F.flatten(F.transform(nodes, of)), lambda y: F.struct(y["section"].alias("section"), y["paragraph"].alias("paragraph")))
+    def walk(x: Column) -> Column:
+        most = F.greatest(F.size(x["a"]), F.size(x["b"]))
+        pairs = F.transform(F.sequence(F.lit(0), most - 1), lambda k: F.struct(k.alias("k"), F.get(x["a"], k).alias("p"), F.get(x["b"], k).alias("q")))
+        unlike = F.filter(pairs, lambda y: ~node(y["p"], ":").eqNullSafe(node(y["q"], ":")))
+        found = F.flatten(F.transform(unlike, lambda y: inside(y["k"], y["p"], y["q"])))
+        return F.transform(found, lambda y: F.struct(y["section"].alias("section"), y["paragraph"].alias("paragraph")))
 
-    return let(F.struct(split(a).alias("a"), split(b).alias("b")), walk)
+    return let(F.struct(sections(a).alias("a"), sections(b).alias("b")), walk)
 
 
-def with_next(docs: DataFrame, id_col: str, carry: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, id_col: str, carry: list[str], text: str = "text") -> DataFrame:
     """Each row with ``next_<column>`` of the document before it by id; the first document follows the last.
 
-    Ids are cut into at most :data:`MAX_RANGES` ranges; each range is one window group and
-    gets a copy of the document that follows it. Only the ranges' largest ids (so many at
-    most) reach the driver. Rows are shuffled once.
+    Rows are dealt into ranges of (id, hash of the text), whose cut points come from a sample of
+    these and whose number grows with the table; so an id that a third of all rows share is
+    spread. Each range is one window group and gets a copy of the row that follows it. The
+    ranges' greatest keys (one row each) are broadcast. Rows are shuffled once.
     """
-    low, high, n = docs.agg(F.min(id_col), F.max(id_col), F.count("*")).first()
-    ranges = min(MAX_RANGES, max(1, n // 256))
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // ranges))
-    part = F.coalesce(F.floor((F.col(id_col) - F.lit(low or 0)) / F.lit(width)).cast("int"), F.lit(-1))
-    dealt = docs.select(id_col, *carry, part.alias("part"), F.lit(False).alias("copied"))
-    tops = dealt.groupBy("part").agg(F.max(id_col).alias("top")).orderBy(F.desc("part")).collect()  # at most MAX_RANGES + 1
-    if not tops:
-        return dealt.select(id_col, *carry, *(F.col(c).alias(f"next_{c}") for c in carry))
-    copies = None
-    receives = {}
-    for k, r in enumerate(tops):
-        receives.setdefault(r["part"], tops[k - 1]["part"])  # the largest range's copy goes to the smallest
-    pairs = F.create_map(*(F.lit(x) for k, v in receives.items() for x in (k, v)))
-    top_ids = [r["top"] for r in tops if r["top"] is not None]
-    is_top = F.col(id_col).isin(top_ids)
-    if any(r["top"] is None for r in tops):
-        is_top = is_top | F.col(id_col).isNull()
-    copies = dealt.filter(is_top).withColumn("part", pairs[F.col("part")]).withColumn("copied", F.lit(True))
-    if any(r["top"] is None for r in tops):  # of rows without id only the first by text is needed
-        copies = copies.filter(F.col(id_col).isNotNull()).unionByName(
-            copies.filter(F.col(id_col).isNull()).orderBy(*carry).limit(1)
-        )
-    order = Window.partitionBy("part").orderBy("copied", F.desc_nulls_last(id_col), *carry)
-    led = dealt.unionByName(copies).select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in carry))
-    return led.filter(~F.col("copied")).drop("part", "copied")
+    keyed = docs.select(F.col(id_col), *carry, F.xxhash64(text).alias("text_hash"))
+    order = [id_col, "text_hash"]
+    part = corpus.range_of(keyed, order, corpus.cut_points(keyed, order, ROWS))
+    dealt = keyed.withColumn("part", part).withColumn("copied", F.lit(False))
+    tops = dealt.groupBy("part").agg(F.max(F.struct(*order)).alias("top"))
+    up = Window.orderBy("part")  # one row a range
+    goes = F.coalesce(F.lead("part").over(up), F.first("part").over(up))
+    tops = tops.select(F.col("part").alias("of"), F.col(f"top.{id_col}").alias("top_id"), F.col("top.text_hash").alias("top_hash"), goes.alias("goes"))
+    is_top = (F.col("part") == F.col("of")) & F.col(id_col).eqNullSafe(F.col("top_id")) & (F.col("text_hash") == F.col("top_hash"))
+    copies = dealt.join(F.broadcast(tops), is_top).dropDuplicates(["of"])
+    copies = copies.select(id_col, *carry, "text_hash", F.col("goes").alias("part"), F.lit(True).alias("copied"))
+    window = Window.partitionBy("part").orderBy("copied", F.desc_nulls_last(id_col), F.desc("text_hash"), *carry)
+    led = dealt.unionByName(copies).select("*", *(F.lead(c).over(window).alias(f"next_{c}") for c in carry))
+    return led.filter(~F.col("copied")).drop("part", "copied", "text_hash")
 
 
 def edits(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Fingerprints of texts and of their edited texts, and their likeness to each other and to the next document."""
+    """Fingerprints of texts and of their edited texts, their likeness to each other and to the next document, and the branches that the edit changed."""
     base = docs.select(id_col, F.coalesce(F.col(text), F.lit("")).alias("text"))
     base = base.withColumn("fingerprint", fingerprint(F.col("text")))
     led = with_next(base, id_col, ["text", "fingerprint"])
@@ -135,4 +140,5 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
         "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        differing(F.col("fingerprint"), F.col("edited_fingerprint")).alias("changed"),
     )

@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lipika.llm import langid, lexicon, merkle, packing, pll, rangecoder, rules, simhash, spans, warc
+from lipika.session import spread, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,19 +118,36 @@ def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle fingerprints of all documents, of their edited texts and of their neighbours."""
-    return merkle.edits(table(spark, sf_dir, "documents"))
+    found = merkle.edits(table(spark, sf_dir, "documents"))
+    first = F.get("changed", F.lit(0))
+    shown = F.when(F.size("changed") > 0, F.format_string("%06d.%06d", first["section"], first["paragraph"]))
+    return found.select(*(c for c in found.columns if c != "changed"), F.size("changed").cast("long").alias("n_changed"), shown.alias("first_changed"))
+
+
+_LEAF = r"'[^.!?]{1,160}[.!?]*|[.!?]+'"
+_PARAGRAPHS = "string_split(s, chr(10))"
+_P_HASH = f"md5(array_to_string(list_transform(regexp_extract_all(p, {_LEAF}), lambda x: md5(x)), ','))"
+
+
+def _sections(text: str, body: str) -> str:
+    return f"list_transform(string_split({text}, chr(10) || chr(10)), lambda s, i: {body})"
 
 
 def _merkle_sql(text: str) -> str:
-    leaf = r"'[^.!?]{1,160}[.!?]*|[.!?]+'"
-    paragraphs = lambda body: f"list_transform(string_split({text}, chr(10) || chr(10)), lambda s: {body})"
-    full = f"array_to_string(list_transform(string_split(s, chr(10)), lambda p: md5(array_to_string(list_transform(regexp_extract_all(p, {leaf}), lambda x: md5(x)), ','))), ';')"
-    short = f"array_to_string(list_transform(string_split(s, chr(10)), lambda p: array_to_string(list_transform(regexp_extract_all(p, {leaf}), lambda x: substr(md5(x), 1, 8)), ',')), ';')"
-    return f"md5(array_to_string({paragraphs(f'md5({full})')}, '/')) || '|' || array_to_string({paragraphs(short)}, '/')"
+    full = f"md5(array_to_string(list_transform({_PARAGRAPHS}, lambda p: {_P_HASH}), ';'))"
+    leaves = f"array_to_string(list_transform(regexp_extract_all(p, {_LEAF}), lambda x: substr(md5(x), 1, 8)), ',')"
+    shown = f"substr({full}, 1, 16) || ':' || array_to_string(list_transform({_PARAGRAPHS}, lambda p: substr({_P_HASH}, 1, 16) || '=' || {leaves}), ';')"
+    return f"md5(array_to_string({_sections(text, full)}, '/')) || '|' || array_to_string({_sections(text, shown)}, '/')"
+
+
+def _branches_sql(text: str) -> str:
+    """Place and hash of each paragraph."""
+    each = f"list_transform({_PARAGRAPHS}, lambda p, j: format('{{:06d}}.{{:06d}}=', i - 1, j - 1) || substr({_P_HASH}, 1, 16))"
+    return f"flatten({_sections(text, each)})"
 
 
 def _likeness_sql(a: str, b: str) -> str:
-    leaves = lambda f: f"list_distinct(list_filter(regexp_split_to_array(split_part({f}, '|', 2), '[,;/]'), lambda x: x <> ''))"
+    leaves = lambda f: f"list_distinct(regexp_extract_all({f}, '[=,]([0-9a-f]{{8}})', 1))"
     return (
         f"CASE WHEN {a} = {b} THEN 1.0 ELSE coalesce(2.0 * len(list_intersect({leaves(a)}, {leaves(b)}))"
         f" / nullif(len({leaves(a)}) + len({leaves(b)}), 0), 0.0) END::DOUBLE"
@@ -140,13 +158,30 @@ OP10_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 n AS (SELECT *, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS nt FROM d),
 e AS (SELECT *, left(t, length(t) - length(t) // 3) || left(nt, length(t) // 3) AS et FROM n),
-f AS (SELECT *, {_merkle_sql("t")} AS fp, {_merkle_sql("et")} AS ef, {_merkle_sql("nt")} AS nf FROM e)
+f AS (SELECT *, {_merkle_sql("t")} AS fp, {_merkle_sql("et")} AS ef, {_merkle_sql("nt")} AS nf, {_branches_sql("t")} AS tb, {_branches_sql("et")} AS eb FROM e),
+c AS (SELECT *, list_distinct(list_transform(list_filter(tb, lambda x: NOT list_contains(eb, x)) || list_filter(eb, lambda x: NOT list_contains(tb, x)), lambda x: split_part(x, '=', 1))) AS ch FROM f)
 SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(et) AS edited_sha256, fp AS fingerprint, ef AS edited_fingerprint,
-       {_likeness_sql("fp", "ef")} AS near_edited, {_likeness_sql("fp", "nf")} AS near_next
-FROM f
+       {_likeness_sql("fp", "ef")} AS near_edited, {_likeness_sql("fp", "nf")} AS near_next,
+       CAST(len(ch) AS BIGINT) AS n_changed, list_min(ch) AS first_changed
+FROM c
+"""
+
+def rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy ``full-2`` rejects, alone and with others: bitwise sums over the written ledger."""
+    ledger = written(rules.ledger(table(spark, sf_dir, "documents")), "ledger")
+    return rules.ablation(ledger, "full-2")
+
+
+ABLATION_SQL = f"""
+WITH l AS ({OP7_SQL}), r(rule, bit) AS (VALUES {", ".join(f"('{r}', {1 << k})" for k, r in enumerate(rules.RULES))})
+SELECT rule, CAST(sum(CASE WHEN failed & bit <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_failed,
+       CAST(sum(CASE WHEN failed = bit THEN 1 ELSE 0 END) AS BIGINT) AS n_failed_alone,
+       CAST(sum(CASE WHEN failed & ~bit = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_kept_without
+FROM l, r GROUP BY rule
 """
 
 QUERIES = {
+    "rule_ablation": rule_ablation,
     "op1_simhash": op1_simhash,
     "op2_lm_score": op2_lm_score,
     "op3_lexicon_bpe": op3_lexicon_bpe,
@@ -158,4 +193,4 @@ QUERIES = {
     "op9_sentence_spans": op9_sentence_spans,
     "op10_merkle": op10_merkle,
 }
-ORACLES = {"op7_quality_rules": OP7_SQL, "op10_merkle": OP10_SQL}
+ORACLES = {"rule_ablation": ABLATION_SQL, "op7_quality_rules": OP7_SQL, "op10_merkle": OP10_SQL}

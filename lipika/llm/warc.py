@@ -10,7 +10,7 @@ are ``revisit`` records that refer to it and have no payload, only its digest an
 
 Defined results: a null html is an empty payload. A null page id gets a record id that no page
 has and comes back as null; it never is the page that others refer to. Rows that repeat the
-largest id are all ``response``. Null urls are left out of the record. Empty tables give no files.
+largest id are all ``response``. Null urls are left out of the record; white space in one is percent-encoded. Empty tables give no files.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 from uuid import UUID
 
 import pyarrow as pa
@@ -33,6 +35,7 @@ from lipika.session import scratch, written
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _BUFFER = 1 << 20
+_SPACES = re.compile(r"\s")
 _NO_ID = 1 << 127
 _GZIP = 16 + zlib.MAX_WBITS
 
@@ -61,7 +64,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
         f"WARC-Type: {'revisit' if revisit else 'response'}",
         f"WARC-Record-ID: {record_id(page_id)}",
         f"WARC-Date: {DATE}",
-        *([f"WARC-Target-URI: {' '.join(url.split())}"] if url else []),
+        *([f"WARC-Target-URI: {_SPACES.sub(lambda m: quote(m[0]), url)}"] if url else []),
         f"WARC-Payload-Digest: sha1:{digest_of(payload)}",
         *([f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}"] if revisit else []),
         "Content-Type: application/http; msgtype=response",
@@ -85,20 +88,31 @@ def headers(head: bytes) -> dict[str, str]:
 
 
 def inflated(stream) -> Iterator[bytes]:
-    """Plain bytes of a gzip file of one member or many."""
-    engine = zlib.decompressobj(_GZIP)
-    while data := stream.read(_BUFFER):
-        while data:
-            out = engine.decompress(data, _BUFFER)
+    """Plain bytes of a gzip file of one member or many; zeros after a member are padding. A stream that is cut off or damaged raises ValueError."""
+    engine, members, fed = zlib.decompressobj(_GZIP), 0, False
+    while True:
+        data = stream.read(_BUFFER)
+        last = not data
+        while data or (last and fed):
+            if members and not fed:
+                data = data.lstrip(b"\0")
+                if not data:
+                    break
+            try:
+                out = engine.decompress(data, _BUFFER)
+            except zlib.error as e:
+                raise ValueError(f"damaged gzip stream: {e}") from e
+            fed = True
             if out:
                 yield out
             if engine.eof:
-                data = engine.unused_data
-                engine = zlib.decompressobj(_GZIP)
+                data, engine, members, fed = engine.unused_data, zlib.decompressobj(_GZIP), members + 1, False
             else:
                 data = engine.unconsumed_tail
-    while not engine.eof and (out := engine.decompress(engine.unconsumed_tail, _BUFFER)):
-        yield out
+                if last and not out and not data:
+                    raise ValueError("the gzip stream is cut off")
+        if last:
+            return
 
 
 def records(chunks: Iterator[bytes]) -> Iterator[bytes]:
@@ -177,6 +191,11 @@ def write_monolithic(rows: DataFrame, folder: str) -> DataFrame:
     return rows.select("page_id", "url", "payload", "refers_to").mapInArrow(run, "path string")
 
 
+def one_each(archives: DataFrame) -> DataFrame:
+    """The archives of a column ``path``, dealt one to a task."""
+    return archives.repartitionByRange(max(1, archives.count()), "path")
+
+
 def normalise_all(archives: DataFrame, keep_source: bool = True) -> DataFrame:
     """``path``, ``index`` and ``n`` of the normalised form of each archive of a column ``path``; it stands beside the source."""
 
@@ -188,6 +207,7 @@ def normalise_all(archives: DataFrame, keep_source: bool = True) -> DataFrame:
                 n = normalise(source, target, index)
                 yield pa.RecordBatch.from_arrays([pa.array([target]), pa.array([index]), pa.array([n], pa.int64())], names=["path", "index", "n"])
 
+    archives = one_each(archives)
     done = written(archives.select("path").mapInArrow(run, "path string, index string, n bigint"), "archives")
     if not keep_source:
 
@@ -225,7 +245,7 @@ def read(archives: DataFrame) -> DataFrame:
                         names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"]
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return archives.select("path", "index").mapInArrow(
+    return one_each(archives).select("path", "index").mapInArrow(
         run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string, payload binary"
     )
 

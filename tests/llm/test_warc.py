@@ -59,3 +59,24 @@ def test_revisits_nulls_ties_and_extra_columns(spark):
     got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read(warc.archive_pages(df, 2)).collect()), key=str)
     assert got == expected([(r[0], r[2]) for r in rows], 2)
     assert warc.read(warc.archive_pages(df.limit(0))).count() == 0
+
+
+def test_cut_and_padded_streams():
+    whole = gzip.compress(b"a" * 3_000_000, mtime=0) + gzip.compress(bytes(range(256)) * 20, mtime=0)
+    plain = b"a" * 3_000_000 + bytes(range(256)) * 20
+    read = lambda data: b"".join(warc.inflated(io.BytesIO(data)))
+    assert read(whole) == plain and read(whole + b"\0" * 1500) == plain and read(b"") == b""
+    first = len(gzip.compress(b"a" * 3_000_000, mtime=0))
+    for n in (first + 1, first + 5, first + 12, len(whole) - 1, len(whole) - 5, 3, first - 4):
+        with pytest.raises(ValueError, match="cut off"):
+            read(whole[:n])
+    with pytest.raises(ValueError):
+        read(whole[:-6] + b"xx" + whole[-4:])
+    with pytest.raises(ValueError):
+        read(whole + b"junk")
+
+
+def test_long_payloads_and_urls(spark):
+    df = spark.createDataFrame([(1, "http://x/a b\n", "<p>" * 1_000_000), (2, "http://x", "<p>" * 1_000_000)], "page_id long, url string, html string")
+    rows = {r.page_id: r for r in warc.read(warc.archive_pages(df)).collect()}
+    assert rows[1].refers_to == 2 and rows[1].url == "http://x/a%20b%0A" and rows[2].payload_bytes == 3_000_000
