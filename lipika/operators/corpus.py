@@ -22,34 +22,36 @@ TOTAL_LINES = 1_500_000
 
 
 #: Rows in a range, and the most ranges.
-RANGE_ROWS, RANGES = 100_000, 512
+RANGE_ROWS, RANGES = 100_000, 16_384
 
 
 def cut_points(df: DataFrame, order: list[str], rows: int = RANGE_ROWS, most: int = RANGES) -> list[tuple]:
-    """Keys that part the order into ranges of about ``rows`` rows, at most ``most``; from 64 sampled keys a range."""
+    """Keys that part the order into ranges of about ``rows`` rows, at most ``most``; from 16 sampled keys a range (64 where there are few ranges)."""
     keys = df.select(*order)
     n = keys.count()
     ranges = min(most, max(1, n // rows))
     if ranges == 1:
         return []
-    found = [tuple(r) for r in keys.sample(min(1.0, 64 * ranges / n), seed=7).orderBy(*order).collect()]
+    each = 64 if ranges <= 1024 else 16
+    found = [tuple(r) for r in keys.sample(min(1.0, each * ranges / n), seed=7).orderBy(*order).collect()]
     chosen = [found[len(found) * k // ranges] for k in range(1, ranges)] if found else []
     return [c for k, c in enumerate(chosen) if not k or c != chosen[k - 1]]
 
 
 def range_of(df: DataFrame, order: list[str], cuts: list[tuple]) -> Column:
-    """How many of the cut points a row's key is not below: a tree of comparisons, as deep as the logarithm of their number."""
-    key = F.struct(*order)
+    """How many of the cut points a row's key is not below, by binary search."""
+    if not cuts:
+        return F.lit(0)
     kinds = [df.schema[c].dataType for c in order]
+    row = lambda values: F.struct(*(F.lit(v).cast(k).alias(c) for v, k, c in zip(values, kinds, order)))
+    table, key = F.array(*map(row, cuts)), F.struct(*order)
 
-    def tree(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        cut = F.struct(*(F.lit(v).cast(k).alias(c) for v, k, c in zip(cuts[middle], kinds, order)))
-        return F.when(key < cut, tree(low, middle)).otherwise(tree(middle + 1, high))
+    def step(found: Column, width: Column) -> Column:
+        at = found + width
+        return F.when((at <= len(cuts)) & (F.get(table, at - 1) <= key), at).otherwise(found)
 
-    return tree(0, len(cuts))
+    widths = F.array(*(F.lit(1 << k) for k in range(len(cuts).bit_length() - 1, -1, -1)))
+    return F.aggregate(widths, F.lit(0), step)
 
 
 def placed(df: DataFrame, order: list[str], name: str = "place", within: list[str] | None = None, rows: int = RANGE_ROWS) -> DataFrame:

@@ -466,13 +466,14 @@ def fragmentation_pairwise(spark, sf):
 
 
 @query(f"""
-WITH {BN}, g AS (SELECT doc_id, {N_WORDS} AS w, strlen(t) AS b, length(t) AS n, unnest(regexp_extract_all(t, {_GRAPHEME_SQL})) AS c, generate_subscripts(regexp_extract_all(t, {_GRAPHEME_SQL}), 1) AS pos,
+WITH {BN}, d AS MATERIALIZED (SELECT doc_id, {N_WORDS} AS w, strlen(t) AS b, length(t) AS n, regexp_extract_all(t, {_GRAPHEME_SQL}) AS cs,
   len(list_filter({WORDS_SQL % 't'}, lambda x: length(x) <= 3)) AS single FROM bn WHERE regexp_matches(t, '[^{_WS}]')),
-o AS (SELECT *, coalesce(SUM(length(c)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM g),
+g AS (SELECT doc_id, unnest(cs) AS c, generate_subscripts(cs, 1) AS pos FROM d),
+o AS (SELECT c, coalesce(SUM(length(c)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM g),
 k AS (SELECT COUNT(*) AS n_clusters, SUM(CASE WHEN (s + length(c) - 1) // 3 * 3 > s THEN 1 ELSE 0 END) AS cut FROM o WHERE regexp_matches(c, '[^{_WS}]')),
-d AS (SELECT SUM((n + 2) // 3) AS tokens, SUM(w) AS words, SUM(b) AS bytes, SUM(single) AS single FROM (SELECT DISTINCT doc_id, w, b, n, single FROM g))
+e AS (SELECT SUM((n + 2) // 3) AS tokens, SUM(w) AS words, SUM(b) AS bytes, SUM(single) AS single FROM d)
 SELECT 'three code points' AS model, true AS available, CAST(tokens AS BIGINT) AS tokens, CAST(words AS BIGINT) AS words, CAST(tokens AS DOUBLE) / words AS fertility, CAST(single AS DOUBLE) / words AS strr,
-  CAST(bytes AS DOUBLE) / tokens AS bytes_per_token, CAST(cut AS DOUBLE) / n_clusters AS conjunct_fragmentation, CAST(cut AS BIGINT) AS n_fragmented, CAST(n_clusters AS BIGINT) AS n_clusters FROM d, k""")
+  CAST(bytes AS DOUBLE) / tokens AS bytes_per_token, CAST(cut AS DOUBLE) / n_clusters AS conjunct_fragmentation, CAST(cut AS BIGINT) AS n_fragmented, CAST(n_clusters AS BIGINT) AS n_clusters FROM e, k""")
 def external_scores(spark, sf):
     """A tokenizer of three code points a token, scored by its offsets as one made elsewhere; one that cannot be had is left out of the ranking."""
     docs = bengali(spark, sf)

@@ -32,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; where it is unset (tests, one machine), one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
-        return named.rstrip("/")
+        return _qualified(spark, named.rstrip("/"))
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _OWN:
@@ -41,6 +41,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[0]
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """A path with its scheme: without one it is a path of the default file system, for readers besides Spark too."""
+    if "://" in path:
+        return path
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString()
+    return "file://" + found.removeprefix("file:") if found.startswith("file:/") and not found.startswith("file:///") else found
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path for a table or for files under the shared folder."""
     return posixpath.join(shared_dir(spark), f"lipika-{label}-{uuid.uuid4().hex[:12]}")

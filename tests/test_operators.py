@@ -8,6 +8,7 @@ from lipika import charset as ch
 from lipika.errors import ConfigError, EmptyCorpusError, LoadError, VocabSizeError
 from lipika.functions import text as T
 from lipika.operators import corpus, dictionary, metrics, scoring, subword
+from lipika.session import written
 from lipika.sources import artefacts
 from lipika.sources import text as sources
 
@@ -151,7 +152,7 @@ def test_places_are_whole_at_three_million_rows(spark):
     """With a payload, ties and repeated rows; read twice by different columns."""
     df = spark.range(3_000_000, numPartitions=12).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.pmod(F.xxhash64("id"), F.lit(1_000_000))).alias("k"), F.repeat(F.lit("x"), 20).alias("payload"))
     df = df.unionByName(df.limit(5)).unionByName(spark.createDataFrame([(None, "y")], df.schema))
-    got = corpus.placed(df, ["k"])
+    got = written(corpus.placed(df, ["k"]).select("k", "place", "payload"), "placed")
     n = 3_000_006
     s = got.agg(F.count("*"), F.countDistinct("place"), F.min("place"), F.max("place")).first()
     assert tuple(s) == (n, n, 0, n - 1)
