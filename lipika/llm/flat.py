@@ -6,7 +6,10 @@ their length. Two given pieces share one with a probability of about 2 ** -60.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +23,10 @@ LONGEST = 64
 _BASE = 0x9E3779B97F4A7C15 | 5
 _BYTES = np.random.default_rng(20240103).integers(0, 1 << 64, 256, np.uint64)
 _POWERS: list[np.ndarray] = []
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _TRIM = None
 
 
 def _powers() -> list[np.ndarray]:
@@ -43,6 +50,27 @@ def groups(texts: pa.Array, most: int = GROUP) -> Iterator[pa.Array]:
         at, base = stop, int(ends[stop - 1])
 
 
+def release() -> None:
+    """Give memory that is free back to the machine: a worker lives on, and other stages need it."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of batches that releases what it took when it ends."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            release()
+
+    return wrapped
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The batches in parts of at most ``rows``, so that a task holds few texts as Python strings."""
     for batch in batches:

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from lipika.llm.flat import tidy
 from lipika.llm.tokens import id_type, token_table
 from lipika.session import written
 
@@ -173,4 +174,4 @@ def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int | None = 0,
 
     id_name = docs.schema[id_col].dataType.simpleString()
     schema = f"id {id_name}, start bigint, length bigint, ids binary, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-    return ranked.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return ranked.mapInArrow(tidy(run), schema).withColumnRenamed("id", id_col)

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lipika.llm import flat as fl
+from lipika.llm.flat import tidy
 from lipika.llm.topk import most_frequent
 from lipika.session import written
 
@@ -207,7 +208,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                 found = pa.array(fl.strings(flat, starts[first], ends[first]), pa.string())
                 yield pa.RecordBatch.from_arrays([found, pa.array(kinds.view(np.int64)), pa.array(bucket_of(kinds)), pa.array(n)], names=["word", "h", "bucket", "n"])
 
-    rows = docs.select(F.make_valid_utf8(F.col(text).cast("string"))).mapInArrow(run, "word string, h bigint, bucket int, n bigint")
+    rows = docs.select(F.make_valid_utf8(F.col(text).cast("string"))).mapInArrow(tidy(run), "word string, h bigint, bucket int, n bigint")
     return written(rows.groupBy("word", "h", "bucket").agg(F.sum("n").alias("n")), "words")
 
 
@@ -241,8 +242,8 @@ def _mean(copies: DataFrame, flat: np.ndarray) -> np.ndarray:
     parts = rows.count()
     while parts > 8:
         parts = -(-parts // 8)
-        rows = rows.repartition(parts).mapInArrow(summed, "n double, flat array<float>")
-    found = rows.coalesce(1).mapInArrow(summed, "n double, flat array<float>").collect()
+        rows = rows.repartition(parts).mapInArrow(tidy(summed), "n double, flat array<float>")
+    found = rows.coalesce(1).mapInArrow(tidy(summed), "n double, flat array<float>").collect()
     return np.array(found[0]["flat"], np.float32) if found else flat
 
 
@@ -271,7 +272,7 @@ def train(docs: DataFrame, known: list[str], text: str = "text", rounds: int = R
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([n], pa.float64()), pa.array([network.flat], pa.list_(pa.float32()))], names=["n", "flat"])
 
-        copies = docs.select(F.make_valid_utf8(F.col(text).cast("string"))).mapInArrow(run, "n double, flat array<float>")
+        copies = docs.select(F.make_valid_utf8(F.col(text).cast("string"))).mapInArrow(tidy(run), "n double, flat array<float>")
         flat = _mean(copies, flat)
     return flat
 
@@ -301,7 +302,7 @@ def score(docs: DataFrame, known: list[str], flat: np.ndarray, id_col: str = "do
 
     id_name = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.make_valid_utf8(F.col(text).cast("string")).alias("text"))
-    out = rows.mapInArrow(run, f"row bigint, id {id_name}, n_words bigint, log_probability double, words array<bigint>")
+    out = rows.mapInArrow(tidy(run), f"row bigint, id {id_name}, n_words bigint, log_probability double, words array<bigint>")
     if rare_words:
         out = written(out, "scores")
         each = out.select("row", F.explode("words").alias("h"))

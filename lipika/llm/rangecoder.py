@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lipika.llm.files import opened, replacing
+from lipika.llm.flat import tidy
 from lipika.llm.tokens import id_type, token_table
 from lipika.session import scratch, written
 
@@ -439,7 +440,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int | None = 0, id_col: str
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int64()), pa.array([n], pa.int64())], names=["file", "part", "n_ids"])
 
     ranged = table.select("id", "ids").repartitionByRange(parts, "id").sortWithinPartitions("id", "ids")
-    return written(ranged.mapInArrow(run, "file string, part bigint, n_ids bigint"), "manifest")
+    return written(ranged.mapInArrow(tidy(run), "file string, part bigint, n_ids bigint"), "manifest")
 
 
 def read_tokens(manifest: DataFrame, id_kind: str = "bigint") -> DataFrame:
@@ -465,7 +466,7 @@ def read_tokens(manifest: DataFrame, id_kind: str = "bigint") -> DataFrame:
                     if rows:
                         yield _batch(rows)
 
-    return spread.mapInArrow(run, "id string, start bigint, n_tokens bigint, ids binary").withColumn("id", F.col("id").cast(id_kind))
+    return spread.mapInArrow(tidy(run), "id string, start bigint, n_tokens bigint, ids binary").withColumn("id", F.col("id").cast(id_kind))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lipika.llm.components import components
-from lipika.llm.flat import slices
+from lipika.llm.flat import slices, tidy
 from lipika.llm.ring import hamming, segment_masks, simhash, within_budgets
 from lipika.session import written
 
@@ -101,7 +101,7 @@ def signatures(docs: DataFrame, id_col: str, text: str, words: int, rows: int, b
             yield pa.RecordBatch.from_arrays(columns, names=["id", "text_key", "node", "size", "keys", "fp"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(id_col, F.xxhash64(text).alias("text_key"), text).mapInArrow(run, f"id {id_type}, text_key bigint, node bigint, size bigint, keys array<bigint>, fp array<bigint>")
+    out = docs.select(id_col, F.xxhash64(text).alias("text_key"), text).mapInArrow(tidy(run), f"id {id_type}, text_key bigint, node bigint, size bigint, keys array<bigint>, fp array<bigint>")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -126,7 +126,7 @@ def _alike(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
             mask = pa.array(fits, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
 
-    return sided.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
+    return sided.select("a", "b", "ta", "tb").mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def _pairs(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from lipika.columns import free_name
 from lipika.llm import shingles
 from lipika.llm.components import components
-from lipika.llm.flat import slices
+from lipika.llm.flat import slices, tidy
 from lipika.llm.ring import as_long, chain_keys, hamming, segment_masks, simhash, within_budgets
 from lipika.llm.shingles import run_hashes
 from lipika.session import written
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ke
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ks, kind), pa.array(fps, kind)], names=["id", "key", "fp"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(id_col, text).mapInArrow(run, f"id {id_type}, key array<bigint>, fp array<bigint>")
+    out = docs.select(id_col, text).mapInArrow(tidy(run), f"id {id_type}, key array<bigint>, fp array<bigint>")
     return out.withColumnRenamed("id", id_col)
 
 

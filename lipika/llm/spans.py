@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lipika.columns import free_name
-from lipika.llm.flat import slices
+from lipika.llm.flat import release, slices, tidy
 from lipika.session import written
 
 LONG = 20
@@ -119,7 +119,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 [pa.array(ids, batch.column(0).type), pa.array(rows, pa.int64()), pa.array(at, pa.int32()), pa.array(ns, pa.int32()), pa.array(hs, pa.int64())], names=["id", "row", "at", "n", "h"]
             )
 
-    runs = written(keyed.select(id_col, row, text).mapInArrow(hashed, f"id {id_type}, row bigint, at int, n int, h bigint"), "runs")
+    runs = written(keyed.select(id_col, row, text).mapInArrow(tidy(hashed), f"id {id_type}, row bigint, at int, n int, h bigint"), "runs")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "row", "at")
     repeated = written(runs.groupBy("h").agg(F.count("*").alias("times"), F.min(place).alias("first")).filter("times > 1"), "repeated")
     # runs that make up a thousandth of all each are a thousand at most: they are broadcast, so no task gets all rows of one
@@ -157,6 +157,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 else:
                     merged.append({"start": a, "end": z})
             removed.append(merged)
+        release()
         return pd.DataFrame({"t": new, "r": removed})
 
     done = joined.withColumn(out_text, cut(F.col(text), F.col(first_mark)))

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lipika.llm import flat as fl
+from lipika.llm.flat import tidy
 
 #: White space of the pre-tokenizer's patterns, as code points.
 SPACE_CODES = (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -219,7 +220,7 @@ def token_table(docs: DataFrame, path: str, end_id: int | None = 0, id_col: str
                 at += len(texts)
 
     id_name = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text).cast("string").alias("text")).mapInArrow(run, f"id {id_name}, n bigint, ids binary")
+    return docs.select(id_col, F.col(text).cast("string").alias("text")).mapInArrow(tidy(run), f"id {id_name}, n bigint, ids binary")
 
 
 def id_type(tokenizer: Tokenizer) -> str:
