@@ -62,3 +62,47 @@ def test_rows_of_one_id_with_different_texts(spark):
     rows = [(1, one), (2, other), (2, one), (3, one), (3, " ".join(f"c{k}" for k in range(100))), (3, one)]
     got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((r.doc_id, r.text[0]) for r in got.collect()) == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_close_copies_meet_on_the_ring(spark):
+    """All pairs whose SimHashes differ in at most RING_TAU bits share a key of equal segments, as the budgets say."""
+    rng = random.Random(3)
+    rows, fps = [], []
+    for _ in range(40):
+        fp = rng.getrandbits(256)
+        for k in range(4):
+            fps.append(fp ^ sum(1 << b for b in rng.sample(range(256), rng.randrange(3 * k + 1))))
+    split = lambda f: [(f >> 64 * w & (1 << 64) - 1) - (1 << 64) * (f >> 64 * w + 63 & 1) for w in range(4)]
+    rows = [(k, 100, split(f)) for k, f in enumerate(fps)]
+    got = {(r.a, r.b) for r in shingles.ring_pairs(spark.createDataFrame(rows, "node long, size long, fp array<long>"), 16).collect()}
+    close = {(a, b) for b in range(len(fps)) for a in range(b) if (fps[a] ^ fps[b]).bit_count() <= shingles.RING_TAU}
+    assert len(close) > 60 and close <= got
+
+
+def test_large_keys_give_no_pair_that_cannot_be_similar(spark):
+    """A large group of near copies, each with edits of its own: the kept rows are those of all pairs, and few pairs are compared."""
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(150)]
+    texts = []
+    for v in range(160):
+        words = list(base)
+        for k in rng.sample(range(150), rng.randrange(7)):
+            words[k] = rng.choice((f"v{v}x{k}", f"x{rng.randrange(5)}"))
+        texts.append(" ".join(words))
+    sets = [plain(t) for t in texts]
+    expected = least_of_components(range(len(texts)), lambda a, b: like(sets[a], sets[b]))
+    assert len(set(expected.values())) > 10
+    assert kept(spark, texts) == set(expected.values())
+
+    parts = {x: k for k, x in enumerate(sorted(set(expected.values())))}
+    large = [(7, k, len(sets[k]), parts[expected[k]], len(texts)) for k in range(len(texts))] + [(9, k, len(sets[k]), parts[expected[k]], 30) for k in range(30)]
+    many = spark.createDataFrame(large, "bucket long, node long, size long, part long, n long")
+    apart = {(a, b) for b in range(len(texts)) for a in range(b) if expected[a] != expected[b]}
+    nodes = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    got = [(r.a, r.b) for r in shingles._open_pairs(many, nodes, 5).collect()]
+    assert set(got) <= apart and len(got) == len(set(got)) and len(got) < len(apart) / 10
+
+    # were no pair linked yet, all that are similar would be among them
+    alone = many.withColumn("part", many.node)
+    got = {(r.a, r.b) for r in shingles._open_pairs(alone, nodes, 5).collect()}
+    assert {(a, b) for b in range(len(texts)) for a in range(b) if like(sets[a], sets[b])} <= got
