@@ -99,10 +99,12 @@ def test_large_keys_give_no_pair_that_cannot_be_similar(spark):
     many = spark.createDataFrame(large, "bucket long, node long, size long, part long, n long")
     apart = {(a, b) for b in range(len(texts)) for a in range(b) if expected[a] != expected[b]}
     nodes = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
-    got = [(r.a, r.b) for r in shingles._open_pairs(many, nodes, 5).collect()]
-    assert set(got) <= apart and len(got) == len(set(got)) and len(got) < len(apart) / 10
-
-    # were no pair linked yet, all that are similar would be among them
-    alone = many.withColumn("part", many.node)
-    got = {(r.a, r.b) for r in shingles._open_pairs(alone, nodes, 5).collect()}
-    assert {(a, b) for b in range(len(texts)) for a in range(b) if like(sets[a], sets[b])} <= got
+    links, pairs = shingles._open_pairs(many, nodes, 5)
+    got = [(r.a, r.b) for r in pairs.collect()]
+    assert not links.count() and set(got) <= apart and len(got) == len(set(got)) and len(got) < len(apart) / 10
+
+    # were no pair linked yet, the pivots' links and the similar ones among the pairs would connect all
+    links, pairs = shingles._open_pairs(many.withColumn("part", many.node), nodes, 5)
+    found = {(r.a, r.b) for r in links.collect()} | {(r.a, r.b) for r in pairs.collect() if like(sets[r.a], sets[r.b])}
+    assert all(like(sets[a], sets[b]) for a, b in found)
+    assert least_of_components(range(len(texts)), lambda a, b: (a, b) in found) == expected
