@@ -13,10 +13,12 @@ most, chosen by the hash of id and text. A language's limit is the 99.9 % quanti
 cross-entropy and a quarter of a bit; labels of fewer than ``LEAST_ROWS`` rows are learned
 from all of these and have no limit.
 
-Bounds: more than ``MAX_LANGUAGES`` labels are an error. Of each order at most ``MAX_GRAMS``
-grams go into the lookup arrays, the most frequent of each language; a gram that is left
-out is treated as unseen in its context, whose totals stay those of all grams. Up to that
-many (four languages of the test tables have 15,000 each) nothing is left out.
+Bounds: more than ``MAX_LANGUAGES`` labels are an error. Up to ``MAX_GRAMS`` grams of each
+order, shared among the languages, are arrays in memory (four languages of the test tables
+have 15,000 each). A language with more has all its arrays of that order in files of the
+shared folder, sorted by Spark; workers map them and search them just the same. Memory is
+then bounded and no gram is left out. Only the tabulated probabilities are limited to the
+most frequent grams; others are computed when a text has them.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and is not
 rejected. Without labelled rows everything is ``und``. Rows without label are not learned
@@ -26,19 +28,24 @@ from. Repeated rows count as often as they occur. Other columns are not read.
 from __future__ import annotations
 
 import math
+import posixpath
+import shutil
+import tempfile
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lipika.columns import free_name
+from lipika.llm.files import opened, replacing
 from lipika.llm.flat import release, slices, tidy
 from lipika.llm.topk import most_frequent
-from lipika.session import written
+from lipika.session import scratch, written
 
 ORDER = 4
 MAX_LANGUAGES = 64
@@ -111,11 +118,67 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, (keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool))
 
 
+#: The arrays of a level in files, as they stand in its tuple.
+_PARTS = {"keys": "<u8", "counts": "<f8", "contexts": "<u8", "totals": "<f8", "kinds": "<f8"}
+
+
+def _mapped(uri: str, kind: str) -> np.ndarray:
+    """A file's values, mapped: where it lies, or from a copy that goes when the process ends."""
+    system, path = opened(uri)
+    if isinstance(system, fs.LocalFileSystem):
+        return np.memmap(path, kind, "r")
+    with tempfile.NamedTemporaryFile(prefix="lipika-grams-") as copy:
+        with system.open_input_stream(path, compression=None) as source:
+            shutil.copyfileobj(source, copy, 1 << 20)
+        copy.flush()
+        return np.memmap(copy.name, kind, "r")
+
+
+def _stored(rows: DataFrame) -> str:
+    """Write the arrays of one language and order; the folder's URI. ``rows``: ``gram``, ``n``, ``context``, ``total``, ``kinds``."""
+    folder = scratch(rows.sparkSession, "grams")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, size = None, 0
+        with replacing(f"{folder}/keys") as keys, replacing(f"{folder}/counts") as counts, replacing(f"{folder}/contexts") as contexts, replacing(f"{folder}/totals") as totals, replacing(f"{folder}/kinds") as kinds:
+            for batch in batches:
+                gram, n, context, total, kind = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+                first = np.ones(len(gram), bool)
+                first[1:] = context[1:] != context[:-1]
+                if len(gram):
+                    first[0] = last is None or context[0] != last
+                    last = context[-1]
+                size += len(gram)
+                keys.write(gram.tobytes())
+                counts.write(n.astype("<f8").tobytes())
+                contexts.write(context[first].tobytes())
+                totals.write(total[first].astype("<f8").tobytes())
+                kinds.write(kind[first].astype("<f8").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([size], pa.int64())], names=["n"])
+
+    # keys are unsigned
+    ordered = rows.select("gram", "n", "context", "total", "kinds").repartition(1).sortWithinPartitions(F.col("gram") < 0, "gram")
+    ordered.mapInArrow(tidy(run), "n bigint").collect()  # one row
+    return folder
+
+
 @dataclass
 class KneserNey:
     """One language: for each order, from the highest, sorted keys with counts, sorted contexts with totals and distinct successors, and the discount."""
 
     levels: list[tuple] = field(default_factory=list)
+    #: Folders of the levels that are mapped files, by their place; these travel as their names.
+    files: dict[int, str] = field(default_factory=dict)
+    #: The grams to tabulate, where these are not all of the highest order.
+    frequent: np.ndarray | None = None
+
+    def add(self, order: int, folder: str, discount: float) -> None:
+        """A level whose arrays are in files."""
+        self.files[len(self.levels)] = folder
+        self.levels.append((order, *(_mapped(posixpath.join(folder, x), kind) for x, kind in _PARTS.items()), discount))
+
+    def __reduce__(self):
+        return _assembled, ([(v[0], self.files[k], v[6]) if k in self.files else v for k, v in enumerate(self.levels)], self.frequent)
 
     @classmethod
     def of_counts(cls, keys: np.ndarray, counts: np.ndarray) -> KneserNey:
@@ -143,17 +206,27 @@ class KneserNey:
         return np.where(known, own / total + discount * kinds[c] / total * lower, lower)
 
 
+def _assembled(levels: list[tuple], frequent: np.ndarray | None) -> KneserNey:
+    out = KneserNey(frequent=frequent)
+    for v in levels:
+        if len(v) == 3:
+            out.add(*v)
+        else:
+            out.levels.append(v)
+    return out
+
+
 def discount_of(once: int, twice: int) -> float:
     return once / (once + 2 * twice) if once and twice else 0.5
 
 
 class Model:
-    """All languages, with the log-probabilities of every kept gram tabulated."""
+    """All languages, with the log-probabilities of the frequent grams tabulated."""
 
     def __init__(self, models: dict[str, KneserNey]):
         self.languages = sorted(models)
         self.models = [models[k] for k in self.languages]
-        self.keys = np.unique(np.concatenate([m.levels[0][1] for m in self.models])) if models else np.zeros(0, np.uint64)
+        self.keys = np.unique(np.concatenate([m.levels[0][1] if m.frequent is None else m.frequent for m in self.models])) if models else np.zeros(0, np.uint64)
         self.bits = self._bits(self.keys)
         self.limits = np.full(len(self.languages), np.inf)
 
@@ -205,7 +278,7 @@ class Model:
 
 
 def _levels(counts: DataFrame, names: list[str], most: int) -> dict[str, KneserNey]:
-    """The models from ``lang``, ``gram``, ``n``: statistics over all grams, lookup arrays of at most ``most`` of each order."""
+    """The models from ``lang``, ``gram``, ``n``: all grams, in memory up to ``most`` of each order and in files beyond."""
     out = {name: KneserNey() for name in names}
     keys = counts
     for order in range(ORDER, 0, -1):
@@ -213,18 +286,22 @@ def _levels(counts: DataFrame, names: list[str], most: int) -> dict[str, KneserN
         stats = keys.groupBy("lang").agg(F.count("*").alias("grams"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).collect()  # one row a language
         context = F.shiftrightunsigned("gram", 16)
         contexts = keys.groupBy("lang", context.alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-        whole = [r["lang"] for r in stats if r["grams"] <= each]
-        kept = keys.filter(F.col("lang").isin(whole))
+        joined = keys.select("lang", "gram", "n", context.alias("context")).join(contexts, ["lang", "context"])
+        rows = joined.filter(F.col("lang").isin([r["lang"] for r in stats if r["grams"] <= each])).toPandas()
         for r in stats:
+            model, discount = out[r["lang"]], discount_of(r["once"], r["twice"])
             if r["grams"] > each:
-                kept = kept.unionByName(most_frequent(keys.filter(F.col("lang") == r["lang"]), each, "gram"))
-        rows = kept.select("lang", "gram", "n", context.alias("context")).join(contexts, ["lang", "context"]).toPandas()
-        for r in stats:
+                of = F.col("lang") == r["lang"]
+                if order == ORDER:
+                    top = most_frequent(keys.filter(of), each, "gram").select("gram").toPandas()
+                    model.frequent = np.sort(top["gram"].to_numpy(np.int64).view(np.uint64))
+                model.add(order, _stored(joined.filter(of)), discount)
+                continue
             own = rows[rows["lang"] == r["lang"]]
             gram, n = own["gram"].to_numpy(np.int64).view(np.uint64), own["n"].to_numpy(float)
             by = np.argsort(gram)
             held, first = np.unique(own["context"].to_numpy(np.int64).view(np.uint64), return_index=True)
-            out[r["lang"]].levels.append((order, gram[by], n[by], held, own["total"].to_numpy(float)[first], own["kinds"].to_numpy(float)[first], discount_of(r["once"], r["twice"])))
+            model.levels.append((order, gram[by], n[by], held, own["total"].to_numpy(float)[first], own["kinds"].to_numpy(float)[first], discount))
         if order > 1:
             lower = F.col("gram").bitwiseAND(F.lit((1 << 16 * (order - 1)) - 1).cast("long"))
             keys = written(keys.groupBy("lang", lower.alias("gram")).agg(F.count("*").alias("n")), "grams")

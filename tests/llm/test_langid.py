@@ -133,3 +133,25 @@ def test_query_equals_brute_force(spark):
             bits = {x: float(-np.log2(m.probability(g)).mean()) for x, m in models.items()}
             best = min(sorted(bits), key=bits.get)
             assert (got[r.doc_id].lang_pred, got[r.doc_id].bits) == (best, pytest.approx(bits[best], rel=1e-4))
+
+
+def test_no_gram_is_left_out_beyond_the_arrays_in_memory(spark):
+    """Levels in files hold every gram, travel as names and predict as those in memory do."""
+    import pickle
+
+    kara = "".join(map(chr, (0x995, 0x9BE, 0x9B0, 0x9CD, 0x9AF, 0xAC00, 0xD7A3)))  # the last two make keys beyond the signed range
+    rows = [(k, f"{kara} le chat numero{chr(97 + k % 26)} est sur la table {chr(0xAC00 + k)}", "fr") for k in range(60)]
+    rows += [(k, f"the end of row{chr(97 + k % 26)} and of the words in it", "en") for k in range(60, 120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = langid.gram_counts(df, "lang", "text")
+    for name, made in langid._levels(counts, ["en", "fr"], 20).items():
+        keys, n = np.unique(np.concatenate([langid.grams(t) for _, t, x in rows if x == name]), return_counts=True)
+        whole = langid.KneserNey.of_counts(keys, n)
+        back = pickle.loads(pickle.dumps(made))
+        assert len(pickle.dumps(made)) < 4000 and len(made.frequent) == 10 and 0 in made.files
+        for m in (made, back):
+            assert all((np.asarray(x) == np.asarray(y)).all() for a, b in zip(m.levels, whole.levels, strict=True) for x, y in zip(a, b, strict=True))
+        assert back.probability(keys) == pytest.approx(whole.probability(keys))
+    small, large = langid.fit(df, most_grams=20), langid.fit(df)
+    got, expected = ([tuple(r["language"]) for r in langid.predict(df, m)[0].orderBy("doc_id").collect()] for m in (small, large))
+    assert [r[0] for r in got] == [r[0] for r in expected] and [r[2] for r in got] == pytest.approx([r[2] for r in expected], rel=1e-5)
