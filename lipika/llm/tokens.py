@@ -17,7 +17,8 @@ from __future__ import annotations
 import functools
 import json
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,7 @@ _OUTER = re.compile(b"|".join(re.escape(chr(c).encode()) for c in SPACE_CODES if
 #: Blocks whose letters and numbers every Unicode version knows alike.
 PLAIN = "!-~\xa1-\u024f\u2010-\u2027\u2030-\u205e"
 _KNOWN = re.compile(f" ?[{PLAIN}]+")
+_ALL_KNOWN = re.compile(f" ?[{PLAIN}]++(?:\n ?[{PLAIN}]++)*+")
 #: Fixed value: the byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # classes of bytes
@@ -124,7 +126,9 @@ class ByteEncoder:
         """Pieces without line feeds are encoded as the lines of one text."""
         found: list[np.ndarray] = [self.end] * len(new)
         by_rank, by_library = [], []
-        for k, p in enumerate(new):
+        if self.ranked and _ALL_KNOWN.fullmatch("\n".join(new)):  # as most often
+            by_rank = list(range(len(new)))
+        for k, p in enumerate(new if not by_rank else ()):
             if self.ranked and _KNOWN.fullmatch(p):
                 by_rank.append(k)
             elif "\n" in p or p.isspace():
@@ -201,16 +205,36 @@ class ByteEncoder:
         return np.concatenate(parts), np.cumsum(np.concatenate(sizes).astype(np.int64))
 
 
-def token_table(docs: DataFrame, path: str, end_id: int | None = 0, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+#: A worker's encoder for the tasks of one table (its key), so that what it remembers is not learnt again by each.
+_KEPT: dict[str, ByteEncoder] = {}
+
+
+def kept(name: str, make: Callable[[], ByteEncoder]) -> ByteEncoder:
+    """The encoder of a table in this worker; one that another table left is let go."""
+    if name not in _KEPT:
+        forget()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def forget() -> None:
+    """Let go of the encoder that a table with ``keep`` left in this worker."""
+    _KEPT.clear()
+
+
+def token_table(docs: DataFrame, path: str, end_id: int | None = 0, id_col: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
     """``id`` (the id column), ``n`` (long) and ``ids`` (binary: little-endian unsigned 16-bit where all ids fit, else 32-bit).
 
-    ``end_id`` is appended to each document. A null text is empty.
+    ``end_id`` is appended to each document. A null text is empty. With ``keep``, workers keep their
+    encoder after a task, until another table's or :func:`forget`, and it remembers twice as many pieces.
     """
 
     ranked = docs.sparkSession.sparkContext.broadcast(ranks(path))  # of the vocabulary's size
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ByteEncoder(path, end_id, ranked=ranked.value)  # its memory goes with the task
+        make = lambda: ByteEncoder(path, end_id, 2 * REMEMBER if keep else REMEMBER, ranked.value)
+        encoder = kept(name, make) if keep else make()  # or its memory goes with the task
         for batch in batches:
             at = 0
             for texts in fl.groups(batch.column(1)):

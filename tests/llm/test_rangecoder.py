@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from lipika.llm import rangecoder
+from lipika.llm import rangecoder, tokens
 from lipika.llm.queries import op4_token_files
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -67,6 +67,47 @@ def test_files_keep_documents(monkeypatch):
     assert isinstance(pa.__version__, str)
 
 
+def test_blocks_of_several_groups_of_lanes():
+    rng = np.random.default_rng(11)
+    blocks = [rng.zipf(1.3, int(n)) % 50_257 for n in rng.integers(0, 300, 2 * rangecoder._GROUP + 9)]
+    coded = rangecoder.encode_blocks(blocks)
+    assert coded == [rangecoder.encode_blocks([b])[0] for b in blocks]
+    assert [b.tolist() for b in rangecoder.decode_blocks(coded)] == [b.tolist() for b in blocks]
+
+
+def test_the_last_blocks_of_a_file_fill_lanes(monkeypatch):
+    # a few blocks by themselves cost several times as much an id
+    monkeypatch.setattr(rangecoder, "BLOCK", 64)
+    monkeypatch.setattr(rangecoder, "LANES", 8)
+    lanes = []
+    for name in ("encode_blocks", "decode_blocks"):
+        monkeypatch.setattr(rangecoder, name, lambda some, f=getattr(rangecoder, name): lanes.append(len(some)) or f(some))
+    out = io.BytesIO()
+    w = rangecoder.FileWriter(out)
+    ids = np.arange(64 * 11 - 5, dtype=np.uint32) % 300
+    w.add(1, ids)
+    w.close()
+
+    class File:
+        def size(self):
+            return len(out.getvalue())
+
+        def read_at(self, n, at):
+            return out.getvalue()[at : at + n]
+
+    assert [(k, i.tolist()) for k, i in rangecoder.read_file(File())] == [(1, ids.tolist())]
+    assert lanes == [11, 11]
+
+
+def test_a_worker_keeps_the_encoder_of_one_table():
+    made = []
+    make = lambda: made.append(1) or len(made)
+    assert [tokens.kept(name, make) for name in ("a", "a", "b", "a")] == [1, 1, 2, 3]
+    tokens.forget()
+    assert tokens.kept("a", make) == 4
+    tokens.forget()
+
+
 def test_query_equals_the_library(spark):
     t = Tokenizer.from_file(PATH)
     t.no_truncation()
