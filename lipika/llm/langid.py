@@ -37,13 +37,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lipika.columns import free_name
 from lipika.llm.files import opened, replacing
-from lipika.llm.flat import release, slices, tidy
+from lipika.llm.flat import release, release_driver, slices, tidy
 from lipika.llm.topk import most_frequent
 from lipika.session import scratch, written
 
@@ -287,21 +288,21 @@ def _levels(counts: DataFrame, names: list[str], most: int) -> dict[str, KneserN
         context = F.shiftrightunsigned("gram", 16)
         contexts = keys.groupBy("lang", context.alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
         joined = keys.select("lang", "gram", "n", context.alias("context")).join(contexts, ["lang", "context"])
-        rows = joined.filter(F.col("lang").isin([r["lang"] for r in stats if r["grams"] <= each])).toPandas()
+        rows = joined.filter(F.col("lang").isin([r["lang"] for r in stats if r["grams"] <= each])).toArrow()
         for r in stats:
             model, discount = out[r["lang"]], discount_of(r["once"], r["twice"])
             if r["grams"] > each:
                 of = F.col("lang") == r["lang"]
                 if order == ORDER:
-                    top = most_frequent(keys.filter(of), each, "gram").select("gram").toPandas()
-                    model.frequent = np.sort(top["gram"].to_numpy(np.int64).view(np.uint64))
+                    top = most_frequent(keys.filter(of), each, "gram").select("gram").toArrow()
+                    model.frequent = np.sort(top["gram"].to_numpy().view(np.uint64))
                 model.add(order, _stored(joined.filter(of)), discount)
                 continue
-            own = rows[rows["lang"] == r["lang"]]
-            gram, n = own["gram"].to_numpy(np.int64).view(np.uint64), own["n"].to_numpy(float)
+            own = rows.filter(pc.equal(rows["lang"], r["lang"]))
+            gram, n = own["gram"].to_numpy().view(np.uint64), own["n"].to_numpy().astype(float)
             by = np.argsort(gram)
-            held, first = np.unique(own["context"].to_numpy(np.int64).view(np.uint64), return_index=True)
-            model.levels.append((order, gram[by], n[by], held, own["total"].to_numpy(float)[first], own["kinds"].to_numpy(float)[first], discount))
+            held, first = np.unique(own["context"].to_numpy().view(np.uint64), return_index=True)
+            model.levels.append((order, gram[by], n[by], held, own["total"].to_numpy()[first].astype(float), own["kinds"].to_numpy()[first].astype(float), discount))
         if order > 1:
             lower = F.col("gram").bitwiseAND(F.lit((1 << 16 * (order - 1)) - 1).cast("long"))
             keys = written(keys.groupBy("lang", lower.alias("gram")).agg(F.count("*").alias("n")), "grams")
@@ -325,6 +326,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", lang: str = "lang", text: str =
     for r in sums.groupBy("lang").agg(F.percentile_approx("e", 0.999, 10_000).alias("e"), F.count("*").alias("n")).collect():  # one row a language
         if r["n"] >= 50:
             model.limits[model.languages.index(r["lang"])] = r["e"] + 0.25
+    release_driver(docs.sparkSession)
     return model
 
 

@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -105,6 +106,23 @@ def test_statistics_are_those_of_all_grams(spark):
             assert made.probability(keys) == pytest.approx(whole.probability(keys))
 
 
+def test_models_are_gathered_as_arrays(spark, monkeypatch):
+    """No Python object for each value of a model: the driver's memory is small."""
+    rows = [(k, " ".join(chr(0x4E00 + (k * 131 + j * j) % 9000) for j in range(200)), "zh") for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = langid.gram_counts(df, "lang", "text").localCheckpoint()
+    assert counts.count() > 50_000
+    langid._levels(counts, ["zh"], 1000)  # what is loaded once
+    taken = []
+    monkeypatch.setattr(type(df), "toPandas", lambda self: taken.append(self) or pytest.fail("rows as Python objects"))
+    tracemalloc.start()
+    made = langid._levels(counts, ["zh"], 400_000)["zh"]
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert not taken and len(made.levels[0][1]) == counts.count()
+    assert peak < 200 * counts.count() / 1e6
+
+
 def test_labels_null_ids_long_texts_and_extra_columns(spark):
     rows = [(None, f"text number {k} of all", "en", 1, 2) for k in range(300)] + [(1, "a long text of letters, " * 100_000, "en", 1, 2)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, gram int, n int")

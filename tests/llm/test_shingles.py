@@ -1,6 +1,12 @@
+import gc
 import random
+import re
+import time
+
+import pytest
 
 from lipika.llm import shingles, simhash
+from lipika.llm.flat import trim_jvm
 from tests.llm.conftest import least_of_components
 
 
@@ -108,3 +114,31 @@ def test_large_keys_give_no_pair_that_cannot_be_similar(spark):
     found = {(r.a, r.b) for r in links.collect()} | {(r.a, r.b) for r in pairs.collect() if like(sets[r.a], sets[r.b])}
     assert all(like(sets[a], sets[b]) for a, b in found)
     assert least_of_components(range(len(texts)), lambda a, b: (a, b) in found) == expected
+
+
+def test_the_driver_gives_freed_native_memory_back(spark):
+    """Many small pieces of native memory, all but a few of them freed: the C library keeps them until it is told to trim."""
+    jvm = spark.sparkContext._jvm
+    df = spark.createDataFrame([(1, "one text"), (2, "another text")], "doc_id long, text string")
+
+    def kept_mb(work):
+        trim_jvm(spark)
+        some, few = jvm.java.util.ArrayList(), jvm.java.util.ArrayList()
+        for _ in range(3000):
+            some.add(jvm.java.nio.ByteBuffer.allocateDirect(60_000))
+        for k in range(0, 3000, 50):
+            few.add(some.get(k))
+        some = None
+        gc.collect()
+        time.sleep(1)  # py4j lets go
+        jvm.System.gc()
+        time.sleep(1)  # the JVM frees the buffers
+        work()
+        size, unit = re.search(r"\((-?\d+)([BKMG])", trim_jvm(spark)).groups()
+        assert few.size() == 60
+        return -int(size) * {"B": 1e-6, "K": 1e-3, "M": 1, "G": 1e3}[unit]
+
+    if not re.search(r"RSS\+Swap: .*\(", trim_jvm(spark)):
+        pytest.skip("this JVM cannot trim")
+    assert kept_mb(lambda: None) > 60
+    assert kept_mb(lambda: simhash.keep_one(df)) < 40
