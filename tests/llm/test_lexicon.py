@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -66,3 +67,69 @@ def test_nulls_ties_and_empty_tables(spark):
     assert got == [(0, ""), (0, ""), (2, "a</w> b</w>"), (2, "a</w> b</w>")]
     none = df.limit(0)
     assert lexicon.encode(none, PATH, lexicon.build(none, PATH)).count() == 0
+
+
+def test_words_merged_together_equal_words_merged_alone():
+    rng = random.Random(4)
+    bpe = lexicon.WordBpe(PATH)
+    words = ["".join(rng.choice("aabeinorst'.!éß—’") for _ in range(rng.randrange(1, 30))) for _ in range(3000)] + ["a", "aaaaaaaaa", "é"]
+    ids, count = bpe.merge_all(words)
+    ends = np.cumsum(count)
+    assert [ids[z - n : z].tolist() for z, n in zip(ends, count)] == [bpe.merge(w) for w in words]
+    assert [len(x) for x in bpe.merge_all([])] == [0, 0]
+
+
+def test_new_words_cost_less_than_merging_each_alone():
+    rng = random.Random(5)
+    c = codec(["the"])
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20)) for _ in range(15_000)]
+    text = " ".join(words)
+    c.encode_batch(["some words to begin with"])
+    began = time.process_time()
+    (raw, _), = c.encode_batch([text])
+    took, began = time.process_time() - began, time.process_time()
+    alone = [x for w in words for x in c.bpe.merge(w)]
+    assert np.frombuffer(raw, "<u4").tolist() == alone
+    assert took < time.process_time() - began
+
+
+def test_stretches_that_share_a_hash_keep_their_own_ids(monkeypatch):
+    hashes = lexicon.fl.hashes
+    monkeypatch.setattr(lexicon.fl, "hashes", lambda *a: hashes(*a) & np.uint64(7))
+    t = library()
+    c = codec(["the"])
+    rng = random.Random(6)
+    for _ in range(20):
+        texts = [" ".join(rng.choice(["the", "eht", "walk", "klaw", "É", "日本", "x" * 70]) for _ in range(rng.randrange(9))) for _ in range(20)]
+        for text, (raw, decoded) in zip(texts, c.encode_batch(texts)):
+            ids = t.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(raw, "<u4").tolist() == ids
+            assert decoded == t.decode(ids, skip_special_tokens=False)
+
+
+def test_zero_bytes_special_tokens_and_all_white_space(spark):
+    bits = ["a", "B", "\0", "<|endoftext|>", *lexicon.SPACE, "\u0301", "\u200b", "日本", "x" * 70]
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(8))) for _ in range(2000)] + ["日本", "\u3000", "\0", ""]
+    t = library()
+    for c, at in ((codec(["a"]), slice(None)), (codec([]), slice(-4, None))):
+        for text, (raw, decoded) in zip(texts[at], c.encode_batch(texts[at])):
+            ids = t.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(raw, "<u4").tolist() == ids, text
+            assert decoded == t.decode(ids, skip_special_tokens=False)
+    df = spark.createDataFrame(list(enumerate([*texts, None])), "doc_id long, text string")
+    got = dict(lexicon.encode(df, PATH, lexicon.build(df, PATH)).select("doc_id", "n_tokens").collect())
+    assert got == {k: len(t.encode(x or "", add_special_tokens=False).ids) for k, x in enumerate([*texts, None])}
+
+
+def test_texts_longer_than_a_group(monkeypatch):
+    monkeypatch.setattr(lexicon, "GROUP", 16)
+    rng = random.Random(8)
+    t = library()
+    c = codec(["the"])
+    texts = [" ".join(rng.choice(["the", "Walk", "é", "\u3000", "日本", "x" * 70]) for _ in range(n)) for n in (0, 1, 400, 3)]
+    for some in ([""], [], texts):
+        for text, (raw, decoded) in zip(some, c.encode_batch(some), strict=True):
+            ids = t.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(raw, "<u4").tolist() == ids
+            assert decoded == t.decode(ids, skip_special_tokens=False)
