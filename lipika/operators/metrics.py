@@ -47,9 +47,13 @@ def wer(hypothesis: Column, reference: Column) -> Column:
 
 def grams(units: Column, n: int = 4) -> Column:
     """Distinct runs of ``n`` units, joined by a character that no text holds."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(units) - n + 1, F.lit(1)))
-    runs = F.transform(starts, lambda k: F.array_join(F.slice(units, k, n), "\x01"))
-    return F.when(F.size(units) < n, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
+
+    def of(u: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(u) - n, F.lit(0)))
+        runs = F.transform(starts, lambda k: F.concat_ws("\x01", *(F.get(u, k + i) for i in range(n))))  # slice() would copy the array for each
+        return F.when(F.size(u) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+    return let(units, of)  # else the text is cut anew for each run
 
 
 def made_up(hypothesis: Column, reference: Column, n: int = 4) -> Column:
